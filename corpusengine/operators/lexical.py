@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusengine.functions.arrays import term_counts
 from corpusengine.functions.text import words
+from corpusengine.session import materialize
 
 # Up to this size the query side travels to the executors; beyond it the joins shuffle.
 BROADCAST_ROWS = 2_000_000
@@ -27,59 +28,93 @@ def query_sections(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct("sections")).alias("section"))
 
 
-def bm25(
-    queries: DataFrame,
-    chunks: DataFrame,
-    k: int = 5,
-    k1: float = 1.5,
-    b: float = 0.75,
-    eps: float = 0.25,
-    decimals: int = 6,
-) -> DataFrame:
-    """Top-`k` chunks `(query_id, chunk_id, score, rank)` per query, positive scores only.
+def _terms(chunks: DataFrame) -> DataFrame:
+    """`(chunk_id, section, len, terms)`: token count and term frequencies, computed inside the row."""
+    return chunks.select("chunk_id", "section", words(F.lower("text")).alias("_tokens")).select(
+        "chunk_id", "section", F.size("_tokens").alias("len"), term_counts(F.col("_tokens")).alias("terms")
+    )
+
 
-    `queries`: query_id, query, sections; `chunks`: chunk_id, section, text.  Corpus
-    statistics are those of the query's own pool (all chunks of its sections).  Because
-    every chunk has one section, they are sums of per-section statistics, and queries with
-    the same sections share them.  Scores are compared at `decimals`, ties by chunk id.
+def section_statistics(chunks: DataFrame) -> DataFrame:
+    """`(section, term, df, len)` written once; the row without term holds chunk and token counts.
+
+    This is the lexical index of a corpus.  It is much smaller than the corpus and serves
+    any number of query batches.
     """
-    tokens = chunks.select(
-        "chunk_id", "section", words(F.lower("text")).alias("_tokens")
-    ).select("chunk_id", "section", F.size("_tokens").alias("len"), term_counts(F.col("_tokens")).alias("_terms"))
-    lengths = tokens.groupBy("section").agg(F.count("*").alias("n"), F.sum("len").alias("len"))
-    postings = tokens.select("chunk_id", "section", "len", F.explode("_terms").alias("t")).select(
-        "chunk_id", "section", "len", "t.term", "t.tf"
+    rows = _terms(chunks).select(
+        "section",
+        "len",
+        # The outer form keeps the optimizer from evaluating the term counts once more as a filter.
+        F.explode_outer(
+            F.concat(F.array(F.lit(None).cast("string")), F.transform("terms", lambda x: x["term"]))
+        ).alias("term"),
+    )
+    stats = rows.groupBy("section", "term").agg(
+        F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("len"))).alias("len")
     )
-    section_df = postings.groupBy("section", "term").agg(F.count("*").alias("df"))
+    return materialize(stats, "section-terms")
 
+
+def _term_weights(queries: DataFrame, stats: DataFrame, eps: float) -> DataFrame:
+    """`(query_id, section, term, w, avgdl)`: idf of the query's pool times the term's count in the query."""
     pooled = queries.select("query_id", "query", F.array_sort(F.array_distinct("sections")).alias("pool"))
-    pools = pooled.select("pool").distinct().select("pool", F.explode("pool").alias("section"))
-    pools = small_side(pools)
+    pools = small_side(pooled.select("pool").distinct().select("pool", F.explode("pool").alias("section")))
     pool_size = (
-        lengths.join(pools, "section")
+        stats.where("term IS NULL")
+        .join(pools, "section")
         .groupBy("pool")
-        .agg(F.sum("n").alias("n"), (F.sum("len") / F.sum("n")).alias("avgdl"))
+        .agg(F.sum("df").alias("n"), (F.sum("len") / F.sum("df")).alias("avgdl"))
     )
-    pool_df = section_df.join(pools, "section").groupBy("pool", "term").agg(F.sum("df").alias("df"))
-    raw_idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    pool_idf = pool_df.join(F.broadcast(pool_size), "pool").select("pool", "term", "avgdl", raw_idf.alias("idf"))
-    floor = pool_idf.groupBy("pool").agg((F.lit(eps) * F.avg("idf")).alias("floor"))
-
-    query_terms = (
+    pool_df = (
+        stats.where("term IS NOT NULL").join(pools, "section").groupBy("pool", "term").agg(F.sum("df").alias("df"))
+    )
+    idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    pool_idf = pool_df.join(pool_size, "pool").select("pool", "term", "avgdl", idf.alias("idf"))
+    floors = pool_idf.groupBy("pool").agg((F.lit(eps) * F.avg("idf")).alias("floor"))
+    asked = (
         pooled.select("query_id", "pool", F.explode(words(F.lower("query"))).alias("term"))
         .groupBy("query_id", "pool", "term")
         .agg(F.count("*").alias("qtf"))
     )
-    weights = (
-        query_terms.join(pool_idf, ["pool", "term"])
-        .join(F.broadcast(floor), "pool")
-        .select(
-            "query_id",
-            F.explode("pool").alias("section"),
-            "term",
-            "avgdl",
-            (F.col("qtf") * F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf"))).alias("w"),
-        )
+    weight = F.col("qtf") * F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf"))
+    return (
+        asked.join(pool_idf, ["pool", "term"])
+        .join(floors, "pool")
+        .select("query_id", F.explode("pool").alias("section"), "term", weight.alias("w"), "avgdl")
+    )
+
+
+def bm25(
+    queries: DataFrame,
+    chunks: DataFrame,
+    k: int = 5,
+    k1: float = 1.5,
+    b: float = 0.75,
+    eps: float = 0.25,
+    decimals: int = 6,
+    stats: DataFrame | None = None,
+) -> DataFrame:
+    """Top-`k` chunks `(query_id, chunk_id, score, rank)` per query, positive scores only.
+
+    `queries`: query_id, query, sections; `chunks`: chunk_id, section, text; `stats`: the
+    corpus's `section_statistics`, built here if not given.  Corpus statistics are those of
+    the query's own pool (all chunks of its sections).  Because every chunk has one
+    section, they are sums of per-section statistics, and queries with the same sections
+    share them.  Scores are compared at `decimals`, ties by chunk id.
+
+    Postings are cut down to the queries' terms and then shuffled once, by chunk.  Scoring
+    and the first cut to `k` need no further shuffle, so the volume moved does not grow
+    with the number of queries.
+    """
+    stats = section_statistics(chunks) if stats is None else stats
+    weights = materialize(_term_weights(queries, stats, eps), "term-weights")
+    wanted = weights.select("section", "term").distinct()
+    postings = (
+        _terms(chunks)
+        .select("chunk_id", "section", "len", F.explode_outer("terms").alias("t"))
+        .select("chunk_id", "section", "len", F.col("t.term").alias("term"), F.col("t.tf").alias("tf"))
+        .join(small_side(wanted), ["section", "term"], "left_semi")
+        .repartition("chunk_id")
     )
     saturated = (
         F.col("w")
@@ -87,12 +122,10 @@ def bm25(
         * (k1 + 1)
         / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
     )
-    matches = postings.join(small_side(weights), ["section", "term"]).select(
-        "query_id", "chunk_id", saturated.alias("part")
-    )
     scores = (
-        matches.groupBy("query_id", "chunk_id")
-        .agg(F.round(F.sum("part"), decimals).alias("score"))
+        postings.join(small_side(weights), ["section", "term"])
+        .groupBy("query_id", "chunk_id")
+        .agg(F.round(F.sum(saturated), decimals).alias("score"))
         .where("score > 0")
     )
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")

@@ -195,9 +195,9 @@ bysec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDE
 def embed(source: str, key: str, text: str, name: str) -> str:
     """CTE `name(key, cell, x)`: the non-zero cells of the hashed-word vector."""
     return f"""
-{name}_w AS (SELECT {key}, unnest({words(f'lower({text})')}) AS w FROM {source}),
+{name}_w AS MATERIALIZED (SELECT {key}, unnest({words(f'lower({text})')}) AS w FROM {source}),
 {name}_c AS (SELECT {key}, ('0x' || substr(md5(w), 1, 8))::UBIGINT % 64 AS cell, count(*) AS c FROM {name}_w GROUP BY 1, 2),
-{name} AS (SELECT {key}, cell::BIGINT AS cell, CAST(c / sqrt(sum(c * c) OVER (PARTITION BY {key})) AS FLOAT)::DOUBLE AS x FROM {name}_c)"""
+{name} AS MATERIALIZED (SELECT {key}, cell::BIGINT AS cell, CAST(c / sqrt(sum(c * c) OVER (PARTITION BY {key})) AS FLOAT)::DOUBLE AS x FROM {name}_c)"""
 
 
 def cosine_routes(queries: str, qkey: str, sections: str, k: int) -> str:
@@ -205,8 +205,8 @@ def cosine_routes(queries: str, qkey: str, sections: str, k: int) -> str:
     return f"""
 qn AS (SELECT {qkey} AS query_id, sqrt(sum(x * x)) AS n FROM {queries} GROUP BY 1),
 sn AS (SELECT section, sqrt(sum(x * x)) AS n FROM {sections} GROUP BY 1),
-dots AS (SELECT q.{qkey} AS query_id, s.section, sum(q.x * s.x) AS dot FROM {queries} q JOIN {sections} s USING (cell) GROUP BY 1, 2),
-near AS (SELECT * FROM (
+dots AS MATERIALIZED (SELECT q.{qkey} AS query_id, s.section, sum(q.x * s.x) AS dot FROM {queries} q JOIN {sections} s USING (cell) GROUP BY 1, 2),
+near AS MATERIALIZED (SELECT * FROM (
          SELECT query_id, section, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section) AS rank FROM (
            SELECT qn.query_id, sn.section, round(coalesce(dot, 0) / ((qn.n + 1e-9) * (sn.n + 1e-9)), 6) + 0.0 AS score
            FROM qn CROSS JOIN sn LEFT JOIN dots ON dots.query_id = qn.query_id AND dots.section = sn.section))
@@ -216,7 +216,7 @@ near AS (SELECT * FROM (
 ROUTED = f"""
 {embed("documents", "doc_id", "text", "dvec")},
 {embed("benchmark", "item_id", "text", "qvec")},
-svec AS (SELECT source AS section, cell, sum(x) / any_value(n) AS x
+svec AS MATERIALIZED (SELECT source AS section, cell, sum(x) / any_value(n) AS x
          FROM dvec JOIN documents USING (doc_id) JOIN (SELECT source, count(*) AS n FROM documents GROUP BY 1) USING (source)
          GROUP BY 1, 2),
 {cosine_routes("qvec", "item_id", "svec", 5)},
@@ -224,16 +224,20 @@ asked AS (SELECT query_id, section FROM near WHERE rank <= 2)"""
 
 BM25 = f"""
 {ROUTED},
-pool AS (SELECT a.query_id, d.doc_id, {words("lower(d.text)")} AS ws FROM asked a JOIN documents d ON d.source = a.section),
-tf AS (SELECT query_id, doc_id, w, count(*) AS tf FROM (SELECT query_id, doc_id, unnest(ws) AS w FROM pool) GROUP BY ALL),
-size AS (SELECT query_id, count(*) AS n, avg(len(ws)) AS avgdl FROM pool GROUP BY 1),
-df AS (SELECT query_id, w, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM tf JOIN size USING (query_id) GROUP BY 1, 2),
-low AS (SELECT query_id, 0.25 * avg(idf) AS eps FROM df GROUP BY 1),
-asks AS (SELECT query_id, w, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({words("lower(text)")}) AS w FROM benchmark) GROUP BY 1, 2),
-bm AS (SELECT query_id, doc_id, round(sum(qtf * CASE WHEN idf < 0 THEN eps ELSE idf END * tf * 2.5
-                / (tf + 1.5 * (0.25 + 0.75 * len(ws) / avgdl))), 6) AS score
-       FROM asks JOIN tf USING (query_id, w) JOIN df USING (query_id, w) JOIN low USING (query_id) JOIN size USING (query_id)
-       JOIN pool USING (query_id, doc_id) GROUP BY 1, 2),
+doc_words AS MATERIALIZED (SELECT doc_id, source AS section, {words("lower(text)")} AS ws FROM documents),
+lens AS MATERIALIZED (SELECT doc_id, section, len(ws) AS len FROM doc_words),
+tf AS MATERIALIZED (SELECT doc_id, section, w, count(*) AS tf FROM (SELECT doc_id, section, unnest(ws) AS w FROM doc_words) GROUP BY ALL),
+wanted AS MATERIALIZED (SELECT * FROM asked),
+size AS MATERIALIZED (SELECT query_id, count(*) AS n, avg(len) AS avgdl FROM wanted JOIN lens USING (section) GROUP BY 1),
+df AS MATERIALIZED (SELECT query_id, w, count(*) AS df FROM wanted JOIN tf USING (section) GROUP BY 1, 2),
+idf AS MATERIALIZED (SELECT query_id, w, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df JOIN size USING (query_id)),
+low AS MATERIALIZED (SELECT query_id, 0.25 * avg(idf) AS eps FROM idf GROUP BY 1),
+asks AS MATERIALIZED (SELECT query_id, w, count(*) AS qtf
+         FROM (SELECT item_id AS query_id, unnest({words("lower(text)")}) AS w FROM benchmark) GROUP BY 1, 2),
+weights AS MATERIALIZED (SELECT query_id, section, w, qtf * CASE WHEN idf < 0 THEN eps ELSE idf END AS weight, avgdl
+         FROM asks JOIN idf USING (query_id, w) JOIN low USING (query_id) JOIN size USING (query_id) JOIN wanted USING (query_id)),
+bm AS MATERIALIZED (SELECT query_id, tf.doc_id, round(sum(weight * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))), 6) AS score
+       FROM weights JOIN tf ON tf.section = weights.section AND tf.w = weights.w JOIN lens ON lens.doc_id = tf.doc_id GROUP BY 1, 2),
 bm25 AS (SELECT * FROM (SELECT query_id, doc_id AS chunk_id, score,
                                row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
                         FROM bm WHERE score > 0) WHERE rank <= 5)"""
@@ -242,8 +246,8 @@ HYBRID = f"""
 {BM25},
 dn AS (SELECT doc_id, sum(x * x) AS n FROM dvec GROUP BY 1),
 qq AS (SELECT item_id AS query_id, sum(x * x) AS n FROM qvec GROUP BY 1),
-dd AS (SELECT q.item_id AS query_id, d.doc_id, sum(q.x * d.x) AS dot FROM qvec q JOIN dvec d USING (cell) GROUP BY 1, 2),
-dist AS (SELECT qq.query_id, dn.doc_id, round(greatest(qq.n + dn.n - 2 * coalesce(dot, 0), 0), 6) AS d
+dd AS MATERIALIZED (SELECT q.item_id AS query_id, d.doc_id, sum(q.x * d.x) AS dot FROM qvec q JOIN dvec d USING (cell) GROUP BY 1, 2),
+dist AS MATERIALIZED (SELECT qq.query_id, dn.doc_id, round(greatest(qq.n + dn.n - 2 * coalesce(dot, 0), 0), 6) AS d
          FROM qq CROSS JOIN dn LEFT JOIN dd ON dd.query_id = qq.query_id AND dd.doc_id = dn.doc_id),
 top50 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, doc_id) AS r FROM dist) WHERE r <= 50),
 vec AS (SELECT * FROM (SELECT t.query_id, t.doc_id AS chunk_id, d AS score, row_number() OVER (PARTITION BY t.query_id ORDER BY r) AS rank
