@@ -124,7 +124,8 @@ def near_duplicates(
     Each round settles, in parallel, the items that come first in all their buckets: they
     are kept, and their bucket mates are compared with them.  Only first-in-bucket rows
     are paired, so a round emits at most one pair per membership however crowded a bucket
-    is; the survivors go to the next round through a written table.
+    is; the survivors meet again in the next round.  Every round reads only tables written
+    by the one before.
     """
     need = required_matches(perms, threshold)
     items = materialize(items.where("signature IS NOT NULL").select("id", "signature", *scope), "signatures")
@@ -136,7 +137,8 @@ def near_duplicates(
         shared = materialize(members.join(leads.select("bucket", "lead"), "bucket"), "shared-buckets")
         if shared.isEmpty():
             break
-        kept = shared.groupBy("id").agg(F.every(F.col("lead") == F.col("id")).alias("first")).where("first")
+        first = F.every(F.col("lead") == F.col("id"))
+        kept = shared.groupBy("id").agg(first.alias("first")).where("first").select("id")
         pairs = (
             shared.where("lead <> id")
             .join(kept.select(F.col("id").alias("lead")), "lead", "left_semi")
@@ -154,10 +156,8 @@ def near_duplicates(
             "near-duplicates",
         )
         dropped = out if dropped is None else dropped.unionByName(out)
-        settled = kept.select("id").unionByName(out.select("id"))
-        members = materialize(
-            shared.select("id", "bucket").join(settled, "id", "left_anti"), "memberships"
-        )
+        settled = kept.unionByName(out.select("id"))
+        members = shared.select("id", "bucket").join(settled, "id", "left_anti")
     if dropped is None:
         return items.sparkSession.createDataFrame([], "id BIGINT, keeper BIGINT, matches INT")
     return dropped

@@ -57,30 +57,45 @@ def section_statistics(chunks: DataFrame) -> DataFrame:
 
 def _term_weights(queries: DataFrame, stats: DataFrame, eps: float) -> DataFrame:
     """`(query_id, section, term, w, avgdl)`: idf of the query's pool times the term's count in the query."""
-    pooled = queries.select("query_id", "query", F.array_sort(F.array_distinct("sections")).alias("pool"))
-    pools = small_side(pooled.select("pool").distinct().select("pool", F.explode("pool").alias("section")))
+    pooled = queries.select("query_id", "query", F.array_sort(F.array_distinct("sections")).alias("sections"))
+    # Queries with the same sections share one pool, named by its smallest query id.
+    named = pooled.groupBy("sections").agg(F.min("query_id").alias("pool"))
+    members = small_side(named.select("pool", F.explode("sections").alias("section")))
     pool_size = (
         stats.where("term IS NULL")
-        .join(pools, "section")
+        .join(members, "section")
         .groupBy("pool")
         .agg(F.sum("df").alias("n"), (F.sum("len") / F.sum("df")).alias("avgdl"))
     )
-    pool_df = (
-        stats.where("term IS NOT NULL").join(pools, "section").groupBy("pool", "term").agg(F.sum("df").alias("df"))
-    )
     idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    pool_idf = pool_df.join(pool_size, "pool").select("pool", "term", "avgdl", idf.alias("idf"))
-    floors = pool_idf.groupBy("pool").agg((F.lit(eps) * F.avg("idf")).alias("floor"))
+    terms = stats.where("term IS NOT NULL").select("section", "term", "df")
+    # The idf depends on the document frequency alone, so its mean is taken over their histogram.
+    histogram = (
+        terms.join(members, "section")
+        .groupBy("pool", "term")
+        .agg(F.sum("df").alias("df"))
+        .groupBy("pool", "df")
+        .agg(F.count("*").alias("n_terms"))
+    )
+    floors = (
+        histogram.join(pool_size, "pool")
+        .groupBy("pool", "n", "avgdl")
+        .agg((F.lit(eps) * F.sum(F.col("n_terms") * idf) / F.sum("n_terms")).alias("floor"))
+    )
     asked = (
-        pooled.select("query_id", "pool", F.explode(words(F.lower("query"))).alias("term"))
-        .groupBy("query_id", "pool", "term")
+        pooled.join(named.select("sections", "pool"), "sections")
+        .select("query_id", "pool", "sections", F.explode(words(F.lower("query"))).alias("term"))
+        .groupBy("query_id", "pool", "sections", "term")
         .agg(F.count("*").alias("qtf"))
     )
-    weight = F.col("qtf") * F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf"))
-    return (
-        asked.join(pool_idf, ["pool", "term"])
-        .join(floors, "pool")
-        .select("query_id", F.explode("pool").alias("section"), "term", weight.alias("w"), "avgdl")
+    found = (
+        terms.join(small_side(asked.withColumn("section", F.explode("sections"))), ["section", "term"])
+        .groupBy("query_id", "pool", "sections", "term", "qtf")
+        .agg(F.sum("df").alias("df"))
+    )
+    weight = F.col("qtf") * F.when(idf < 0, F.col("floor")).otherwise(idf)
+    return found.join(floors, "pool").select(
+        "query_id", F.explode("sections").alias("section"), "term", weight.alias("w"), "avgdl"
     )
 
 

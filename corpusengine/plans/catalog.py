@@ -20,6 +20,7 @@ from corpusengine.plans.inputs import (
     LENIENT_SIZES,
     STRICT_SIZES,
     document_chunks,
+    documents,
     embedded_chunks,
     labelled_vectors,
     line_chunks,
@@ -166,7 +167,7 @@ def enriched_query(spark, sf):
 
 @query
 def safety_filter(spark, sf):
-    return table(spark, sf, "documents").where(~t.is_unsafe(F.col("text"))).select("doc_id", "text")
+    return documents(spark, sf).where(~t.is_unsafe(F.col("text"))).select("doc_id", "text")
 
 
 @query
@@ -181,17 +182,17 @@ def trace_lookup(spark, sf):
 
 @query
 def pii_mask(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", t.mask_pii(F.col("text")).alias("text"))
+    return documents(spark, sf).select("doc_id", t.mask_pii(F.col("text")).alias("text"))
 
 
 @query
 def pii_mask_in(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", t.mask_pii(F.col("text"), t.PII_INDIA).alias("text"))
+    return documents(spark, sf).select("doc_id", t.mask_pii(F.col("text"), t.PII_INDIA).alias("text"))
 
 
 @query
 def pii_counts(spark, sf):
-    counted = table(spark, sf, "documents").select("lang", t.pii_counts(F.col("text")).alias("c")).select("lang", "c.*")
+    counted = documents(spark, sf).select("lang", t.pii_counts(F.col("text")).alias("c")).select("lang", "c.*")
     return counted.groupBy("lang").agg(*[F.sum(c).alias(f"n_{c}") for c in ("email", "phone", "adhaar", "pan")])
 
 
@@ -220,7 +221,7 @@ def _answers(spark, sf):
 
 
 def _enriched(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf).select("doc_id", "text")
     return inference.enrich(docs, _answers(spark, sf), ["doc_id"])
 
 
@@ -289,7 +290,7 @@ def next_sequence(spark, sf):
 
 @query
 def fallback_keywords(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", joined(t.fallback_keywords(F.col("text"))).alias("keywords"))
+    return documents(spark, sf).select("doc_id", joined(t.fallback_keywords(F.col("text"))).alias("keywords"))
 
 
 @query
@@ -403,7 +404,7 @@ def memory_tail(spark, sf):
 
 
 def _sentences(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", t.sentences(t.collapse(F.col("text"))).alias("sentences"))
+    return documents(spark, sf).select("doc_id", t.sentences(t.collapse(F.col("text"))).alias("sentences"))
 
 
 @query
@@ -430,19 +431,19 @@ def near_dup_pairs(spark, sf):
 
 @query
 def near_dedup(spark, sf):
-    return dedup.clean_sentences(table(spark, sf, "documents"))
+    return dedup.clean_sentences(documents(spark, sf))
 
 
 @query
 def clean_documents(spark, sf):
-    return dedup.clean(table(spark, sf, "documents"), near=False)
+    return dedup.clean(documents(spark, sf), near=False)
 
 
 # --- chunks ----------------------------------------------------------------------------------
 
 
 def _recursive(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf).select("doc_id", "text")
     return chunking.recursive(docs)
 
 
@@ -465,7 +466,7 @@ def chunk_invariants(spark, sf):
         F.min_by("_bare", "index_in_para").alias("_first"),
         F.max_by("_bare", "index_in_para").alias("_last"),
     )
-    docs = table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", f"{t.WS}+", "").alias("_all"))
+    docs = documents(spark, sf).select("doc_id", F.regexp_replace("text", f"{t.WS}+", "").alias("_all"))
     return docs.join(per_doc, "doc_id").select(
         "doc_id",
         "n_oversize",
@@ -605,7 +606,7 @@ def keyword_requests(spark, sf):
 
 @query
 def parse_model_output(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     listed = F.concat(F.lit('Sure: ["'), "source", F.lit('", "'), "lang", F.lit('", "x"] done'))
     fenced = F.concat(F.lit("```json\n{\""), "source", F.lit('": ["'), "lang", F.lit('", "x"]}\n```'))
     default = F.array(F.lit("a"), F.lit("b"), F.lit("c"))

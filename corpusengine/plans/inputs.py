@@ -12,7 +12,7 @@ from corpusengine.operators.chunking import assign_ids, explode_pieces
 from corpusengine.operators.hybrid import route
 from corpusengine.operators.inference import embed
 from corpusengine.operators.sequences import with_sequence
-from corpusengine.session import materialize
+from corpusengine.session import materialize, spread
 from corpusengine.sources.turns import interactions
 
 # Tag sizes for pages: headings over bold lead-ins over paragraphs.
@@ -24,9 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents spread over all task slots, for operators with much work per text."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as chunks `(chunk_id, section, text)`."""
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("chunk_id"), F.col("source").alias("section"), "text"
     )
 
@@ -72,7 +77,7 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-blank document lines as numbered chunks, with the document's keywords."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = documents(spark, sf_dir).select(
         "doc_id", F.col("source").alias("section"), fallback_keywords(F.col("text")).alias("keywords"), "text"
     )
     lines = F.filter(F.transform(F.split("text", "\n"), strip), lambda l: l != "")

@@ -59,3 +59,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def default_parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over at least as many partitions as there are task slots.
+
+    For scans that come in fewer (one unsplittable file, say); a scan of a large table has
+    more and is left alone.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
