@@ -24,7 +24,8 @@ def cut_recursively(text: str, size: int, overlap: int, separators: tuple[str, .
 
     A separator stays at the head of the part that follows it.  Parts are packed into
     pieces of at most `size` characters, each starting with up to `overlap` characters
-    of whole parts from the end of its predecessor.
+    of whole parts from the end of its predecessor.  A part that no separator can divide is
+    kept as it is, however long.
     """
     level = next((i for i, s in enumerate(separators) if s == "" or s in text), len(separators) - 1)
     sep, finer = separators[level], separators[level + 1 :]

@@ -48,14 +48,9 @@ def _with_halo(chunks: DataFrame, reach: int, block: int) -> DataFrame:
 
     Dense ids make all blocks equally large, whatever the size of a document or section.
     """
-    own = F.floor((F.col("id") - 1) / block)
-    blocks = F.array_distinct(
-        F.array(
-            own,
-            F.floor((F.col("id") - 1 - reach) / block),
-            F.floor((F.col("id") - 1 + reach) / block),
-        )
-    )
+    at = F.col("id") - 1
+    own = F.floor(at / block)
+    blocks = F.sequence(F.floor(F.greatest(at - reach, F.lit(0)) / block), F.floor((at + reach) / block))
     return chunks.withColumn("_own", own).withColumn("_block", F.explode(blocks))
 
 

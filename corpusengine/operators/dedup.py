@@ -78,17 +78,25 @@ def _values(positions: list[int]) -> list[Column]:
     return [F.get("signature", F.lit(p)) for p in positions]
 
 
-def _buckets(items: DataFrame, perms: int, threshold: float, scope: list[str]) -> DataFrame:
-    """Bucket memberships `(id, bucket)` that join every pair above the threshold.
+def band_buckets(items: DataFrame, perms: int = 64, threshold: float = THRESHOLD, scope: tuple[str, ...] = ()) -> DataFrame:
+    """Bucket memberships `(id, signature, band, bucket)` that join every pair above the threshold.
 
-    A pair differs in at most `d` positions, so of `d + 1` bands one is equal.  Members of
-    a crowded bucket move to `d + 1` finer buckets over the remaining positions, of which
-    again one is equal for such a pair.  Nothing is lost at either level.
+    A pair differs in at most `d` positions, so of `d + 1` bands one is equal.
+    """
+    count = perms - required_matches(perms, threshold) + 1
+    keys = [F.xxhash64(*scope, F.lit(b), *_values(p)) for b, p in enumerate(_bands(list(range(perms)), count))]
+    return items.select("id", "signature", F.posexplode(F.array(*keys)).alias("band", "bucket"))
+
+
+def _buckets(items: DataFrame, perms: int, threshold: float, scope: tuple[str, ...]) -> DataFrame:
+    """Memberships `(id, bucket)` like `band_buckets`, crowded buckets divided further.
+
+    Members of a crowded bucket move to `d + 1` finer buckets over the remaining positions,
+    of which again one is equal for a pair above the threshold.  Nothing is lost.
     """
     count = perms - required_matches(perms, threshold) + 1
     bands = _bands(list(range(perms)), count)
-    keys = [F.xxhash64(*scope, F.lit(b), *_values(p)) for b, p in enumerate(bands)]
-    coarse = items.select("id", "signature", *scope, F.posexplode(F.array(*keys)).alias("band", "bucket"))
+    coarse = band_buckets(items, perms, threshold, scope)
     crowded = (
         coarse.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT_BUCKETS_ABOVE).select("bucket")
     )
@@ -129,7 +137,7 @@ def near_duplicates(
     """
     need = required_matches(perms, threshold)
     items = materialize(items.where("signature IS NOT NULL").select("id", "signature", *scope), "signatures")
-    members = materialize(_buckets(items, perms, threshold, list(scope)), "memberships")
+    members = materialize(_buckets(items, perms, threshold, scope), "memberships")
     signature = items.select("id", "signature")
     dropped = None
     while True:

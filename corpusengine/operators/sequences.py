@@ -32,7 +32,7 @@ def with_dense_id(df: DataFrame, order: list[str], name: str = "id", partitions:
     return (
         placed.join(F.broadcast(shifts), "_part")
         .withColumn(name, F.col("_shift") + F.col("_at") + 1)
-        .drop("_part", "_at", "_shift", "_n")
+        .drop("_part", "_at", "_shift")
     )
 
 
