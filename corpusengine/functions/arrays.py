@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def explode_rows(df: DataFrame, keep: list[str], array: Column, pos: str, value: str) -> DataFrame:
+    """`keep`, the 0-based position and the element, one row per element of `array`.
+
+    The outer form plus a filter on its position: the plain form makes the optimizer
+    evaluate `array` a second time, as a filter on its size.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array).alias(pos, value))
+    return rows.where(F.col(pos).isNotNull())
+
+
 def _run_starts(ordered: Column, key: Callable[[Column], Column]) -> Column:
     """0-based positions where the sorted array `ordered` begins a new key."""
     positions = F.when(F.size(ordered) > 0, F.sequence(F.lit(0), F.size(ordered) - 1)).otherwise(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusengine.functions.arrays import explode_rows
 from corpusengine.functions.arrow import recursive_chunks
 from corpusengine.functions.text import confidence, context_radius, is_blank
 from corpusengine.operators.sequences import with_dense_id
@@ -29,14 +30,14 @@ def recursive(
 
 def explode_pieces(df: DataFrame, pieces: Column, drop: str) -> DataFrame:
     keep = [c for c in df.columns if c != drop]
-    return df.select(*keep, F.posexplode(pieces).alias("_i", "chunk_text")).select(
+    return explode_rows(df, keep, pieces, "_i", "chunk_text").select(
         *keep, (F.col("_i") + 1).cast("int").alias("index_in_para"), "chunk_text"
     )
 
 
 def assign_ids(chunks: DataFrame, order: list[str]) -> DataFrame:
     """Chunk ids 1..N over the whole table, in item order then split order."""
-    return with_dense_id(chunks, order, "id")
+    return with_dense_id(chunks, order, "id", costly=True)
 
 
 def score(chunks: DataFrame, keywords: str = "keywords") -> DataFrame:

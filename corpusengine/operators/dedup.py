@@ -9,9 +9,10 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusengine.functions.arrays import first_occurrences
+from corpusengine.functions.arrays import explode_rows, first_occurrences, let
 from corpusengine.functions.arrow import minhash
 from corpusengine.functions.text import collapse, is_blank, is_unsafe, mask_pii, nfkc, sentences
 from corpusengine.operators.sequences import with_dense_id
@@ -19,7 +20,8 @@ from corpusengine.session import materialize
 
 MIN_LEN = 20
 THRESHOLD = 0.85
-SPLIT_BUCKETS_ABOVE = 1000
+SPLIT_BUCKETS_ABOVE = 100
+HEADS = 32
 
 
 def exact_sentences(
@@ -31,10 +33,12 @@ def exact_sentences(
     aggregation with map-side combine finds the first holder; a sentence that fills a
     third of the corpus is reduced to one row per task first.
     """
-    indexed = F.transform(sents, lambda s, i: F.struct(s.alias("v"), i.alias("at")))
-    short = F.filter(indexed, lambda x: F.length(x["v"]) < min_len)
-    distinct = F.filter(first_occurrences(F.col(sents)), lambda x: F.length(x["v"]) >= min_len)
-    rows = docs.select("doc_id", F.explode(F.concat(short, distinct)).alias("x")).select(
+    def survivors(s: Column) -> Column:
+        indexed = F.transform(s, lambda v, i: F.struct(v.alias("v"), i.alias("at")))
+        short = F.filter(indexed, lambda x: F.length(x["v"]) < min_len)
+        return F.concat(short, F.filter(first_occurrences(s), lambda x: F.length(x["v"]) >= min_len))
+
+    rows = explode_rows(docs, ["doc_id"], let(F.col(sents), survivors), "_i", "x").select(
         "doc_id", F.col("x.at").cast("bigint").alias("pos"), F.col("x.v").alias("sentence")
     )
     if per_document:
@@ -88,33 +92,30 @@ def band_buckets(items: DataFrame, perms: int = 64, threshold: float = THRESHOLD
     return items.select("id", "signature", F.posexplode(F.array(*keys)).alias("band", "bucket"))
 
 
-def _buckets(items: DataFrame, perms: int, threshold: float, scope: tuple[str, ...]) -> DataFrame:
-    """Memberships `(id, bucket)` like `band_buckets`, crowded buckets divided further.
+def _divide_crowded(
+    memberships: DataFrame, signature: DataFrame, perms: int, threshold: float
+) -> DataFrame:
+    """Memberships `(id, band, bucket)` with the members of crowded buckets in finer ones.
 
-    Members of a crowded bucket move to `d + 1` finer buckets over the remaining positions,
-    of which again one is equal for a pair above the threshold.  Nothing is lost.
+    A bucket's members share one band; a pair above the threshold differs in at most `d` of
+    the other positions, so of `d + 1` finer bands over them one is equal.  Nothing is lost.
     """
-    count = perms - required_matches(perms, threshold) + 1
-    bands = _bands(list(range(perms)), count)
-    coarse = band_buckets(items, perms, threshold, scope)
-    crowded = (
-        coarse.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT_BUCKETS_ABOVE).select("bucket")
-    )
-    crowded = materialize(crowded, "crowded-buckets")
+    sizes = memberships.groupBy("bucket").agg(F.count("*").alias("n"))
+    crowded = materialize(sizes.where(F.col("n") > SPLIT_BUCKETS_ABOVE).select("bucket"), "crowded-buckets")
     if crowded.isEmpty():
-        return coarse.select("id", "bucket")
-    calm = coarse.join(crowded, "bucket", "left_anti").select("id", "bucket")
+        return memberships
+    count = perms - required_matches(perms, threshold) + 1
     finer = []
-    for b, positions in enumerate(bands):
+    for b, positions in enumerate(_bands(list(range(perms)), count)):
         rest = [p for p in range(perms) if p not in set(positions)]
-        finer.append(
-            F.when(
-                F.col("band") == b,
-                F.array(*[F.xxhash64("bucket", F.lit(j), *_values(p)) for j, p in enumerate(_bands(rest, count))]),
-            )
-        )
-    split = coarse.join(crowded, "bucket", "left_semi").select("id", F.explode(F.coalesce(*finer)).alias("bucket"))
-    return calm.unionByName(split)
+        keys = [F.xxhash64("bucket", F.lit(j), *_values(p)) for j, p in enumerate(_bands(rest, count))]
+        finer.append(F.when(F.col("band") == b, F.array(*keys)))
+    moved = (
+        memberships.join(crowded, "bucket", "left_semi")
+        .join(signature, "id")
+        .select("id", "band", F.explode(F.coalesce(*finer)).alias("bucket"))
+    )
+    return memberships.join(crowded, "bucket", "left_anti").select("id", "band", "bucket").unionByName(moved)
 
 
 def _agreement(a: str, b: str) -> Column:
@@ -129,43 +130,61 @@ def near_duplicates(
     An item is dropped iff an earlier kept item agrees with it on `threshold` of the
     signature.  `items`: id, signature and the columns `scope` that pairs must share.
 
-    Each round settles, in parallel, the items that come first in all their buckets: they
-    are kept, and their bucket mates are compared with them.  Only first-in-bucket rows
-    are paired, so a round emits at most one pair per membership however crowded a bucket
-    is; the survivors meet again in the next round.  Every round reads only tables written
-    by the one before.
+    Each round compares the first members of every bucket, its heads, with the later ones.
+    An item that is a head in all its buckets has met every earlier candidate; if it is
+    similar to none of them it is kept, and what is similar to a kept item is dropped.
+    The others go to the next round.  The first round has one head per bucket, so a
+    cluster of copies costs one pair per membership however large it is.  Buckets still
+    crowded after it are divided, and the number of heads then doubles from round to round.
     """
     need = required_matches(perms, threshold)
     items = materialize(items.where("signature IS NOT NULL").select("id", "signature", *scope), "signatures")
-    members = materialize(_buckets(items, perms, threshold, scope), "memberships")
     signature = items.select("id", "signature")
+    later = signature.select(F.col("id").alias("keeper"), F.col("signature").alias("kept_signature"))
+    members = band_buckets(items, perms, threshold, scope).select("id", "band", "bucket")
+    in_order = W.partitionBy("bucket").orderBy("id")
     dropped = None
+    heads_per_bucket = 1
     while True:
-        leads = members.groupBy("bucket").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
-        shared = materialize(members.join(leads.select("bucket", "lead"), "bucket"), "shared-buckets")
+        crowd = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+        shared = materialize(members.join(crowd, "bucket", "left_semi"), "shared-buckets")
         if shared.isEmpty():
             break
-        first = F.every(F.col("lead") == F.col("id"))
-        kept = shared.groupBy("id").agg(first.alias("first")).where("first").select("id")
-        pairs = (
-            shared.where("lead <> id")
-            .join(kept.select(F.col("id").alias("lead")), "lead", "left_semi")
-            .select("id", F.col("lead").alias("keeper"))
-            .distinct()
+        heads = (
+            shared.select("bucket", "id")
+            .withColumn("_nth", F.row_number().over(in_order))
+            .where(F.col("_nth") <= heads_per_bucket)
+            .select("bucket", F.col("id").alias("keeper"))
         )
-        verified = (
-            pairs.join(signature, "id")
-            .join(signature.select(F.col("id").alias("keeper"), F.col("signature").alias("kept_signature")), "keeper")
+        edges = materialize(
+            shared.join(heads, "bucket")
+            .where(F.col("keeper") < F.col("id"))
+            .select("id", "keeper")
+            .distinct()
+            .join(signature, "id")
+            .join(later, "keeper")
             .select("id", "keeper", _agreement("signature", "kept_signature").alias("matches"))
-            .where(F.col("matches") >= need)
+            .where(F.col("matches") >= need),
+            "near-pairs",
+        )
+        places = shared.groupBy("id").agg(F.count("*").alias("n"))
+        leading = heads.groupBy(F.col("keeper").alias("id")).agg(F.count("*").alias("n"))
+        kept = materialize(
+            places.join(leading, ["id", "n"], "left_semi").join(edges, "id", "left_anti").select("id"), "kept"
         )
-        out = materialize(
-            verified.groupBy("id").agg(F.min("keeper").alias("keeper"), F.min_by("matches", "keeper").alias("matches")),
-            "near-duplicates",
+        out = (
+            edges.join(kept.select(F.col("id").alias("keeper")), "keeper", "left_semi")
+            .groupBy("id")
+            .agg(F.min("keeper").alias("keeper"), F.min_by("matches", "keeper").alias("matches"))
         )
         dropped = out if dropped is None else dropped.unionByName(out)
         settled = kept.unionByName(out.select("id"))
-        members = shared.select("id", "bucket").join(settled, "id", "left_anti")
+        members = shared.join(settled, "id", "left_anti")
+        if heads_per_bucket == 1:
+            members = _divide_crowded(materialize(members, "memberships"), signature, perms, threshold)
+            heads_per_bucket = HEADS
+        else:
+            heads_per_bucket *= 2
     if dropped is None:
         return items.sparkSession.createDataFrame([], "id BIGINT, keeper BIGINT, matches INT")
     return dropped
@@ -183,7 +202,7 @@ def clean_sentences(
     unique = exact_sentences(split, min_len=min_len, per_document=per_document)
     if not near:
         return unique
-    numbered = materialize(with_dense_id(unique, ["doc_id", "pos"], "id"), "sentences")
+    numbered = materialize(with_dense_id(unique, ["doc_id", "pos"], "id", costly=True), "sentences")
     long = numbered.where(F.length("sentence") >= min_len)
     scope = ("doc_id",) if per_document else ()
     gone = near_duplicates(

@@ -195,7 +195,7 @@ def guard_expansions(df: DataFrame, near: bool = True, limit: int = 2, min_chars
         .select("query_id", "at.no", "at.pos", "sentence")
     )
     if near:
-        numbered = materialize(with_dense_id(kept, ["query_id", "no", "pos"]), "expansions")
+        numbered = materialize(with_dense_id(kept, ["query_id", "no", "pos"], costly=True), "expansions")
         long = numbered.where(F.length("sentence") >= MIN_LEN)
         gone = near_duplicates(
             signatures(long, "sentence").select("id", "signature", "query_id"), scope=("query_id",)

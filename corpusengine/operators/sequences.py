@@ -11,13 +11,20 @@ from corpusengine.session import default_parallelism, materialize
 _ROW_BITS = (1 << 33) - 1  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
-def with_dense_id(df: DataFrame, order: list[str], name: str = "id", partitions: int | None = None) -> DataFrame:
+def with_dense_id(
+    df: DataFrame, order: list[str], name: str = "id", partitions: int | None = None, costly: bool = False
+) -> DataFrame:
     """Number the rows 1..N in the total order of the columns `order`.
 
     Range partitions are numbered locally and shifted by the row counts of the partitions
     before them; only that table of counts, one row per partition, is broadcast.  The
     placed rows are written once, so both uses see the same partition bounds.
+
+    Finding the bounds reads the input once more; `costly` input is written first, so that it
+    is computed only once.
     """
+    if costly:
+        df = materialize(df, "unnumbered")
     n = partitions or default_parallelism(df.sparkSession)
     placed = (
         df.repartitionByRange(n, *order)

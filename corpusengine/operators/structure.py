@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusengine.operators.sequences import with_running_counts, with_sequence
+from corpusengine.session import materialize
 
 
 def size_histogram(spans: DataFrame) -> DataFrame:
@@ -39,6 +40,8 @@ def hierarchy(
     """
     if orphan_policy not in ("attach", "drop"):
         raise ValueError(f"orphan_policy {orphan_policy!r}")
+    # Read several times below; written once so that span extraction runs once.
+    spans = materialize(spans.select("doc_id", "pos", "text", "size"), "spans")
     sizes = (
         size_histogram(spans)
         .where(F.size("sizes") >= min_sizes)

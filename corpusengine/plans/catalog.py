@@ -31,7 +31,7 @@ from corpusengine.plans.inputs import (
     table,
     vector_queries,
 )
-from corpusengine.session import materialize, shared_dir
+from corpusengine.session import materialize, shared_dir, spread
 from corpusengine.sources import chunks as chunk_table
 from corpusengine.sources import corpus, index, topics, turns
 
@@ -66,7 +66,7 @@ def page_text(spark, sf):
 
 
 def _spans(spark, sf, sizes):
-    return corpus.pages_to_spans(table(spark, sf, "pages"), sizes)
+    return corpus.pages_to_spans(spread(table(spark, sf, "pages")), sizes)
 
 
 @query
@@ -127,7 +127,7 @@ def turn_append(spark, sf):
 
 @query
 def normalize_text(spark, sf):
-    return t.normalize_batch(table(spark, sf, "documents").select("doc_id", "text"), "text")
+    return t.normalize_batch(documents(spark, sf).select("doc_id", "text"), "text")
 
 
 @query

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusengine.functions.arrays import explode_rows
 from corpusengine.functions.text import collapse, is_blank, strip
 
 # A tag's rank plays the part of the font size.
@@ -91,9 +92,8 @@ def pages_to_spans(
     marked = F.regexp_replace(marked, rf"(?i)<({tags})(\s[^>]*)?>", "\x01$1\x02")
     marked = F.regexp_replace(F.regexp_replace(marked, r"(?i)<br\s*/?>", " "), "<[^>]*>", "")
     size = F.create_map(*[F.lit(v) for kv in tag_sizes.items() for v in kv])
-    parts = pages.select(
-        F.col(doc_id).alias("doc_id"), F.posexplode(F.split(marked, "\x01")).alias("pos", "part")
-    )
+    named = pages.withColumnRenamed(doc_id, "doc_id")
+    parts = explode_rows(named, ["doc_id"], F.split(marked, "\x01"), "pos", "part")
     spans = parts.select(
         "doc_id",
         F.col("pos").cast("bigint").alias("pos"),
