@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,10 @@ WS = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 WS_INNER = WS[1:-1]
+# The same characters as a plain string.
+WS_CHARS = "".join(chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B))) + (
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 # Phrases and words that make a text unsafe.
 INJECTION_PHRASES = (
@@ -52,7 +59,8 @@ SENTENCE_BREAK = r"(?<=[.!?]) +"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    """Without white space at the ends; looks at the ends only."""
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def collapse(c: Column) -> Column:
@@ -91,7 +99,7 @@ def tail(c: Column, n: int) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return c.isNull() | (strip(c) == "")
+    return c.isNull() | ~c.rlike(f"[^{WS_INNER}]")
 
 
 def words(c: Column) -> Column:
@@ -101,16 +109,15 @@ def words(c: Column) -> Column:
 
 def is_unsafe(c: Column) -> Column:
     """An injection phrase anywhere, or a harmful word as a whole token."""
-    low = F.lower(c)
-    phrase = F.lit(False)
-    for p in INJECTION_PHRASES:
-        phrase = phrase | low.contains(p)
-    # The cheap substring test guards the tokenisation, so clean texts are never split.
-    maybe = F.lit(False)
-    for w in HARMFUL_WORDS:
-        maybe = maybe | low.contains(w)
-    token = F.arrays_overlap(F.split(low, f"{WS}+"), F.array(*[F.lit(w) for w in HARMFUL_WORDS]))
-    return phrase | (maybe & token)
+
+    def check(low: Column) -> Column:
+        phrase = reduce(or_, [low.contains(p) for p in INJECTION_PHRASES])
+        # The substring test guards the tokenisation, so clean texts are never split.
+        inside = reduce(or_, [low.contains(w) for w in HARMFUL_WORDS])
+        tokens = F.split(low, f"{WS}+")
+        return phrase | (inside & F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in HARMFUL_WORDS])))
+
+    return let(F.lower(c), check)
 
 
 def is_valid_query(c: Column, max_chars: int = 1000) -> Column:
