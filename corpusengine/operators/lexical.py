@@ -11,7 +11,7 @@ from corpusengine.functions.text import words
 from corpusengine.session import materialize
 
 # Up to this size the query side travels to the executors; beyond it the joins shuffle.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 
 
 def small_side(df: DataFrame, limit_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusengine.session import default_parallelism, materialize
+from corpusengine.session import materialize
 
 _ROW_BITS = (1 << 33) - 1  # monotonically_increasing_id keeps the row number in the low 33 bits
 
@@ -25,9 +25,10 @@ def with_dense_id(
     """
     if costly:
         df = materialize(df, "unnumbered")
-    n = partitions or default_parallelism(df.sparkSession)
+    # Without a fixed number of partitions AQE merges small neighbours, which keeps the order.
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
     placed = (
-        df.repartitionByRange(n, *order)
+        ranged
         .sortWithinPartitions(*order)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)))

@@ -57,10 +57,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def default_parallelism(spark: SparkSession) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """`df` over at least as many partitions as there are task slots.
 

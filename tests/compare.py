@@ -64,7 +64,7 @@ def main() -> None:
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
     wanted = sys.argv[2:]
-    spark = build_session("compare", "local[8]", spark_sql_shuffle_partitions="8", spark_ui_enabled="false", spark_driver_memory="8g")
+    spark = build_session("compare", "local[8]", spark_sql_shuffle_partitions=os.environ.get("PARTITIONS", "8"), spark_ui_enabled="false", spark_driver_memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls = duck(sf_dir), oracle_sql()
     for name, fn in queries().items():
