@@ -3,7 +3,6 @@ import json
 from pyspark.sql import functions as F
 
 from corpusengine.operators import inference
-from corpusengine.operators.hybrid import unique_texts  # noqa: F401
 from corpusengine.plans import build, chat, retrieve
 from corpusengine.plans.inputs import LENIENT_SIZES, embedded_chunks, section_centroids
 from corpusengine.schemas import CHUNK

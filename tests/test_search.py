@@ -1,7 +1,6 @@
 import numpy as np
 import pytest
 from tests.conftest import SF, rows
-from pyspark.sql import functions as F
 
 from corpusengine.operators import ann, hybrid, knn, lexical
 from corpusengine.plans.inputs import labelled_vectors, vector_queries
