@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusengine.llm import line_dedup, line_quality
+from corpusengine.llm import line_dedup, line_quality, piece_codec, token_counts
 from corpusengine.plans.inputs import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,3 +75,13 @@ marked AS (SELECT l.*, f.key IS NOT NULL AS gone FROM lines l LEFT JOIN frequent
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
+
+
+@query
+def op7_token_counts(spark, sf):
+    return token_counts.token_counts(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op8_sentencepiece(spark, sf):
+    return piece_codec.report(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
