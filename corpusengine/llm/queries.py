@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusengine.llm import line_dedup, line_quality, piece_codec, token_counts
+from corpusengine.llm import license_spans, line_dedup, line_quality, piece_codec, token_counts
 from corpusengine.plans.inputs import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op4_license_spans(spark, sf):
+    return license_spans.license_spans(table(spark, sf, "documents"))
+
+
 @query
 def op5_line_quality(spark, sf):
     return line_quality.report(table(spark, sf, "documents"))
