@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusengine.llm import license_spans, line_dedup, line_quality, piece_codec, token_counts
+from corpusengine.llm import license_spans, line_dedup, line_quality, piece_codec, token_counts, unit_dedup
+from corpusengine.llm.common import ROW
 from corpusengine.plans.inputs import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +23,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op3_unit_dedup(spark, sf):
+    return unit_dedup.repeated_spans(table(spark, sf, "documents")).drop(ROW)
+
+
 @query
 def op4_license_spans(spark, sf):
     return license_spans.license_spans(table(spark, sf, "documents"))
