@@ -16,7 +16,7 @@ SHARE = 2e-6
 
 
 def counted(docs: DataFrame, split: Callable[[bytes], Iterable[bytes]]) -> DataFrame:
-    """`(unit, flag, n)`: occurrences of every unit of the binary column `text`, apart by the boolean `flag`.
+    """`(unit, n, n_flagged)`: occurrences of every unit of the binary column `text`, and those in rows with `flag`.
 
     Tasks count what they read before the shuffle, so a unit of a third of all
     occurrences is a few rows of each task.
@@ -48,12 +48,16 @@ def counted(docs: DataFrame, split: Callable[[bytes], Iterable[bytes]]) -> DataF
     return (
         docs.select("text", "flag")
         .mapInArrow(count, "unit binary, flag boolean, n long")
-        .groupBy("unit", "flag")
-        .agg(F.sum("n").alias("n"))
+        .groupBy("unit")
+        .agg(F.sum("n").alias("n"), F.sum(F.when(F.col("flag"), F.col("n")).otherwise(0)).alias("n_flagged"))
     )
 
 
 def frequent(units: DataFrame, share: float = SHARE) -> DataFrame:
-    """The units `(unit, n)` with at least `share` of all occurrences; there are at most `1 / share`."""
-    total = units.agg(F.sum("n")).first()[0] or 0
-    return units.where(F.col("n") >= F.lit(max(2.0, share * total)))
+    """The units with at least `share` of all occurrences; there are at most `1 / share`."""
+    return units.where(F.col("n") >= threshold(units, share))
+
+
+def threshold(units: DataFrame, share: float = SHARE) -> float:
+    """Occurrences from which on a unit is frequent."""
+    return max(2.0, share * (units.agg(F.sum("n")).first()[0] or 0))

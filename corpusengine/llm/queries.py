@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusengine.llm import license_spans, line_dedup, line_quality, piece_codec, token_counts, unit_dedup
+from corpusengine.llm import lattice_score, license_spans, line_dedup, line_quality, piece_codec, token_counts, unit_dedup
 from corpusengine.llm.common import ROW
 from corpusengine.plans.inputs import table
 
@@ -23,6 +23,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op2_lattice_score(spark, sf):
+    return lattice_score.document_scores(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def op3_unit_dedup(spark, sf):
     return unit_dedup.repeated_spans(table(spark, sf, "documents")).drop(ROW)
