@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusengine.llm import lattice_score, license_spans, line_dedup, line_quality, piece_codec, token_counts, unit_dedup
+from corpusengine.llm import lattice_score, license_spans, line_dedup, line_quality, order_minhash, piece_codec, token_counts, unit_dedup
 from corpusengine.llm.common import ROW
 from corpusengine.plans.inputs import table
 
@@ -101,3 +101,8 @@ def op7_token_counts(spark, sf):
 @query
 def op8_sentencepiece(spark, sf):
     return piece_codec.report(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op9_order_minhash(spark, sf):
+    return order_minhash.classes(table(spark, sf, "documents")).drop(ROW)
