@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusengine.llm import lattice_score, license_spans, line_dedup, line_quality, order_minhash, piece_codec, token_counts, unit_dedup
+from corpusengine.llm import hilbert_ann, lattice_score, license_spans, line_dedup, line_quality, mixing, order_minhash, piece_codec, token_counts, unit_dedup
 from corpusengine.llm.common import ROW
 from corpusengine.plans.inputs import table
 
@@ -23,6 +24,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_hilbert_ann(spark, sf):
+    return hilbert_ann.nearest(table(spark, sf, "embeddings"), F.col("id") % 100 == 0)
+
+
 @query
 def op2_lattice_score(spark, sf):
     return lattice_score.document_scores(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -106,3 +112,8 @@ def op8_sentencepiece(spark, sf):
 @query
 def op9_order_minhash(spark, sf):
     return order_minhash.classes(table(spark, sf, "documents")).drop(ROW)
+
+
+@query
+def op10_temperature_mix(spark, sf):
+    return mixing.drawn(table(spark, sf, "documents")).drop(ROW)
