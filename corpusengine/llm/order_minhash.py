@@ -17,9 +17,9 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusengine.llm.common import ROW, col, numbered, text_of
@@ -30,8 +30,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: A pair at the threshold agrees on a sketch with odds of about 0.64, on a band of two with 0.41, on none of 16 with 2e-4.
 BANDS, SKETCHES = 16, 2
-#: Heads of a bucket grow by this factor from round to round.
-GROWTH = 8
+#: Members of a bucket up to which open members are met pair by pair; texts of a block beyond.
+SMALL_BUCKET, BLOCK = 16, 256
+#: Distinct shingles of two blocks that are counted at once.
+COLUMNS = 10_000
 #: Ids that may be broadcast, 8 bytes each.
 BROADCAST_IDS = 500_000
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -170,14 +172,88 @@ def verified(docs: DataFrame, pairs: DataFrame, text: str = "text") -> DataFrame
     return aligned.where(F.col("similarity") >= SIMILARITY)
 
 
+def _shingles(texts) -> list[np.ndarray]:
+    return [labelled_shingles(normal_words(t)) for t in texts]
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Shingles that each text of `left` has in common with each of `right`; at most a block of each."""
+    sizes = [len(x) for x in left] + [len(x) for x in right]
+    values, ids = np.unique(np.concatenate(left + right), return_inverse=True)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    on_left = owner < len(left)
+    both = np.zeros(len(values), bool)
+    both[ids[on_left]] = True
+    seen = np.zeros(len(values), bool)
+    seen[ids[~on_left]] = True
+    number = np.cumsum(both & seen) - 1
+    keep = (both & seen)[ids]
+    owner, ids = owner[keep], number[ids[keep]]
+    counts = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(ids.max(initial=-1)) + 1, COLUMNS):
+        here = (ids >= start) & (ids < start + COLUMNS)
+        table = np.zeros((len(sizes), COLUMNS), np.float32)
+        table[owner[here], ids[here] - start] = 1
+        counts += table[: len(left)] @ table[len(left) :].T
+    return counts
+
+
+def _compare(key, own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+    """Similar pairs of different classes, one of each block."""
+    found = []
+    if len(own) and len(others):
+        left, right = _shingles(own["text"]), _shingles(others["o_text"])
+        total = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :]
+        hopeful = common_counts(left, right) >= SIMILARITY / (1 + SIMILARITY) * total - 1e-3
+        hopeful &= own["label"].to_numpy()[:, None] != others["o_label"].to_numpy()[None, :]
+        found = [
+            (own["id"].iloc[i], others["o_id"].iloc[j])
+            for i, j in zip(*np.nonzero(hopeful), strict=True)
+            if similarity(left[i], right[j]) >= SIMILARITY
+        ]
+    return pd.DataFrame({"a": [min(p) for p in found], "b": [max(p) for p in found]}, dtype="int64")
+
+
+def _in_blocks(docs: DataFrame, members: DataFrame, text: str) -> DataFrame:
+    """Similar pairs of open members with members of other classes in large buckets, block against block.
+
+    A bucket is dealt over blocks of about `BLOCK` texts, so no task holds more than two blocks, and
+    only similar pairs leave it.
+    """
+    sizes = members.groupBy("key").agg(
+        F.ceil(F.sum(F.col("open").cast("int")) / BLOCK).cast("int").alias("rows"), F.ceil(F.count("*") / BLOCK).cast("int").alias("columns")
+    )
+    ids = materialize(members.select(F.col("id").alias(ROW)).distinct(), "block-rows")
+    few = ids.count() <= BROADCAST_IDS
+    texts = numbered(docs, text_of(text).cast("binary").alias("text")).join(F.broadcast(ids) if few else ids, ROW, "left_semi")
+    placed = members.join(sizes, "key").withColumn("spot", F.xxhash64("id", "key"))
+
+    def dealt(side: DataFrame, row, column) -> DataFrame:
+        return side.select("key", row.alias("row"), column.alias("column"), "id", "label").join(
+            texts.withColumnRenamed(ROW, "id"), "id"
+        )
+
+    own = dealt(
+        placed.where("open").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("columns") - 1))),
+        F.pmod("spot", "rows").cast("int"), F.col("j"),
+    )
+    others = dealt(
+        placed.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))), F.col("i"), F.pmod("spot", "columns").cast("int")
+    ).select("key", "row", "column", F.col("id").alias("o_id"), F.col("label").alias("o_label"), F.col("text").alias("o_text"))
+    others = others.toDF("o_key", "o_row", "o_column", "o_id", "o_label", "o_text")
+    grouped = own.groupBy("key", "row", "column").cogroup(others.groupBy("o_key", "o_row", "o_column"))
+    return grouped.applyInPandas(_compare, "a long, b long")
+
+
 def near_links(docs: DataFrame, texts: DataFrame, text: str = "text") -> DataFrame:
     """Similar pairs `(a, b)` that connect the classes of `texts` `(ROW, n, bands)`, all of them different texts.
 
-    In each round the heads of a bucket are compared with the members that are not yet of their
-    class.  A member that reaches a head's class is done in the bucket; the others become heads
-    later, until none is left.  The first head is the member that meets most others, for a group of
-    edited copies mostly their origin, so a large group costs one pair a membership and
-    not one for every two of its members.
+    First every bucket's head is compared with its other members.  The head is the member that
+    meets most others; of a group of edited copies that is mostly their origin, so a
+    large group costs one pair a membership.  Members that are not of the head's class
+    then, the open ones, are compared with all members of other classes: as pairs in small
+    buckets, block against block in large ones.  As two members of the head's class need no
+    comparison, no pair of a bucket is left out.
     """
     members = texts.select(F.col(ROW).alias("id"), "n", F.explode("bands").alias("band")).select(
         "id", "n", F.col("band.key").alias("key"), F.col("band.at").alias("at")
@@ -185,42 +261,42 @@ def near_links(docs: DataFrame, texts: DataFrame, text: str = "text") -> DataFra
     shared = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = members.join(shared, "key")
     meets = members.groupBy("id").agg(F.sum("size").alias("meets"))
-    members = materialize(members.join(meets, "id").select("key", "id", "n", "at", "meets"), "members")
-    open_members, links, n_heads = members.select("key", "id", "meets"), None, 1
-    labelled = members.withColumn("label", F.col("id"))
-    while True:
-        first = F.struct(-F.col("meets"), F.col("id"))
-        if n_heads == 1:
-            heads = open_members.groupBy("key").agg(F.min_by("id", first).alias("head"))
-        else:
-            nth = F.row_number().over(W.partitionBy("key").orderBy(first))
-            heads = open_members.withColumn("nth", nth).where(F.col("nth") <= n_heads).select("key", F.col("id").alias("head"))
-        heads = materialize(
-            heads.join(
-                labelled.select("key", F.col("id").alias("head"), F.col("n").alias("head_n"), F.col("at").alias("head_at"), F.col("label").alias("head_label")),
-                ["key", "head"],
-            ),
-            "heads",
-        )
-        reach = (F.col("n") + F.col("head_n")) * ((1 - SIMILARITY) / (1 + SIMILARITY))
-        pairs = (
-            labelled.join(heads, "key")
-            .where((F.col("label") != F.col("head_label")) & (F.abs(F.col("n") - F.col("head_n")) <= reach) & (F.abs(F.col("at") - F.col("head_at")) <= reach))
-            .select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
-            .distinct()
-        )
-        found = materialize(verified(docs, materialize(pairs, "pairs"), text).select("a", "b"), "similar-pairs")
-        links = found if links is None else links.unionByName(found)
-        classes = components(links).withColumnRenamed("label", "class")
-        labelled = materialize(
-            members.join(classes, "id", "left").select("key", "id", "n", "at", "meets", F.coalesce("class", "id").alias("label")), "labelled"
-        )
-        spent = heads.select("key", F.col("head").alias("id")).join(labelled.select("key", "id", "label"), ["key", "id"]).select("key", "label").distinct()
-        left = open_members.select("key", "id").join(labelled, ["key", "id"]).join(spent, ["key", "label"], "left_anti")
-        open_members = materialize(left.select("key", "id", "meets"), "open-members")
-        if open_members.isEmpty():
-            return links
-        n_heads *= GROWTH
+    first = F.struct(-F.col("meets"), F.col("id"))
+    members = materialize(members.join(meets, "id"), "members")
+    heads = members.groupBy("key").agg(F.min_by(F.struct("id", "n", "at"), first).alias("head"))
+    reach = (1 - SIMILARITY) / (1 + SIMILARITY)
+
+    def may_align(n: str, at: str, other_n: str, other_at: str) -> Column:
+        most = (F.col(n) + F.col(other_n)) * reach
+        return (F.abs(F.col(n) - F.col(other_n)) <= most) & (F.abs(F.col(at) - F.col(other_at)) <= most)
+
+    def pair(a: str, b: str) -> list[Column]:
+        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+    stars = members.join(heads, "key").where((F.col("id") != F.col("head.id")) & may_align("n", "at", "head.n", "head.at"))
+    pairs = materialize(stars.select(*pair("id", "head.id")).distinct(), "star-pairs")
+    links = materialize(verified(docs, pairs, text).select("a", "b"), "star-links")
+
+    labels = components(links)
+    labelled = members.join(labels, "id", "left").select("key", "id", "n", "at", "size", F.coalesce("label", "id").alias("label"))
+    labelled = materialize(labelled, "labelled")
+    of_head = heads.select("key", F.col("head.id").alias("id")).join(labelled, ["key", "id"]).select("key", F.col("id").alias("head"), F.col("label").alias("head_label"))
+    # The head has met all of its bucket.
+    rest = labelled.join(of_head, "key").where(F.col("id") != F.col("head")).withColumn("open", F.col("label") != F.col("head_label"))
+    with_open = rest.groupBy("key").agg(F.max("open").alias("any"), F.min("label").alias("low"), F.max("label").alias("high"))
+    rest = rest.join(with_open.where("any AND low < high").select("key"), "key", "left_semi")
+    rest = materialize(rest.select("key", "id", "n", "at", "size", "label", "open"), "open-buckets")
+
+    small = rest.where(F.col("size") <= SMALL_BUCKET)
+    other = small.select("key", F.col("id").alias("o_id"), F.col("n").alias("o_n"), F.col("at").alias("o_at"), F.col("label").alias("o_label"))
+    met = (
+        small.where("open").join(other, "key")
+        .where((F.col("label") != F.col("o_label")) & may_align("n", "at", "o_n", "o_at"))
+        .select(*pair("id", "o_id")).distinct().join(pairs, ["a", "b"], "left_anti")
+    )
+    more = verified(docs, materialize(met, "small-pairs"), text).select("a", "b")
+    blocks = _in_blocks(docs, rest.where(F.col("size") > SMALL_BUCKET), text)
+    return links.unionByName(materialize(more.unionByName(blocks).distinct(), "more-links"))
 
 
 def classes(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from corpusengine.llm import components as C, order_minhash as O
 from tests.llm.conftest import ODD_TEXTS
@@ -45,7 +46,7 @@ def corpus(seed=1):
         for _ in range(rng.randrange(0, 9)):
             texts.append(" ".join(edited(rng, words, rng.randrange(0, 7))))
     words = [f"h{rng.randrange(500)}" for _ in range(150)]
-    texts += [" ".join(edited(rng, words, 2)) for _ in range(60)]
+    texts += [" ".join(edited(rng, words, rng.choice([2, 2, 5, 6]))) for _ in range(60)]
     rng.shuffle(texts)
     return texts
 
@@ -80,7 +81,11 @@ def brute_classes(rows):
     return {frozenset(g) for g in groups.values()}
 
 
-def test_classes_against_brute_force(make_docs, tmp_path):
+@pytest.mark.parametrize("small, block", [(16, 256), (2, 7)])
+def test_classes_against_brute_force(make_docs, tmp_path, monkeypatch, small, block):
+    monkeypatch.setattr(O, "SMALL_BUCKET", small)
+    monkeypatch.setattr(O, "BLOCK", block)
+    monkeypatch.setattr(O, "COLUMNS", 500)
     texts = corpus()[:110] + ["one two", "One  two", "one two three", None, "", *["same words here again and again"] * 4]
     ids = [5_000 - i for i in range(len(texts))]
     ids[-1], ids[-2] = None, ids[-3]
