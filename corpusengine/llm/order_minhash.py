@@ -258,12 +258,12 @@ def near_links(docs: DataFrame, texts: DataFrame, text: str = "text") -> DataFra
     members = texts.select(F.col(ROW).alias("id"), "n", F.explode("bands").alias("band")).select(
         "id", "n", F.col("band.key").alias("key"), F.col("band.at").alias("at")
     )
-    shared = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = materialize(members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     members = members.join(shared, "key")
     meets = members.groupBy("id").agg(F.sum("size").alias("meets"))
     first = F.struct(-F.col("meets"), F.col("id"))
     members = materialize(members.join(meets, "id"), "members")
-    heads = members.groupBy("key").agg(F.min_by(F.struct("id", "n", "at"), first).alias("head"))
+    heads = materialize(members.groupBy("key").agg(F.min_by(F.struct("id", "n", "at"), first).alias("head")), "heads")
     reach = (1 - SIMILARITY) / (1 + SIMILARITY)
 
     def may_align(n: str, at: str, other_n: str, other_at: str) -> Column:
