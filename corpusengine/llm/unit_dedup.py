@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusengine.llm.common import ROW, col, numbered, text_of
+from corpusengine.session import materialize
 
 #: Words that a run of repeated units needs to be removed.
 MIN_RUN_WORDS = 25
@@ -65,15 +66,17 @@ def repeated_spans(docs: DataFrame, text: str = "text", min_run_words: int = MIN
     and empty texts have no units.
 
     A digest of a third of all units is one row of each task when first occurrences are
-    found.  In the join with them it is one key, which adaptive execution divides.
+    found.  In the join with them it is one key, which adaptive execution divides, as the
+    first occurrences have been written and both sides are dealt out anew.
     """
     placed = units(docs, text)
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW, "unit")
-    firsts = (
+    firsts = materialize(
         placed.groupBy("key")
         .agg(F.min(rank).alias("first"), F.count("*").alias("n"))
         .where("n > 1")
-        .select("key", F.col("first.doc_id").alias("kept_doc_id"), F.col(f"first.{ROW}").alias("kept_row"), F.col("first.unit").alias("kept_unit"))
+        .select("key", F.col("first.doc_id").alias("kept_doc_id"), F.col(f"first.{ROW}").alias("kept_row"), F.col("first.unit").alias("kept_unit")),
+        "first-units",
     )
     repeats = placed.join(firsts, "key").where((F.col(ROW) != F.col("kept_row")) | (F.col("unit") != F.col("kept_unit")))
     by_row = repeats.groupBy(ROW, "doc_id").agg(
