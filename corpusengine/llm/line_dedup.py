@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusengine.llm.common import ROW, SPACES, col, digest, lower_ascii, numbered, replaced, text_of
+from corpusengine.session import materialize
 
 MIN_DOCUMENTS = 10
 MIN_CHARS = 1
@@ -47,11 +48,12 @@ def dropped_positions(docs: DataFrame, text: str = "text", **limits: int) -> Dat
     """`(ROW, dropped)`: the positions of frequent lines of the documents that have any.
 
     A line of a third of all documents is one key of the join; adaptive execution divides it,
-    or broadcasts the frequent lines when it finds them to be small.
+    or broadcasts the frequent lines when it finds them to be small.  They are written first, so
+    that both sides of the join can be dealt out anew.
     """
     placed = numbered(docs, text_of(text).alias("t")).select(ROW, F.posexplode(_lines(F.col("t"))).alias("at", "line"))
     placed = placed.select(ROW, "at", digest(line_key(F.col("line"))).alias("key"))
-    frequent = frequent_lines(docs, text, **limits).select("key")
+    frequent = materialize(frequent_lines(docs, text, **limits).select("key"), "frequent-lines")
     return placed.join(frequent, "key").groupBy(ROW).agg(F.collect_list("at").alias("dropped"))
 
 
