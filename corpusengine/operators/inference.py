@@ -66,6 +66,17 @@ def _call(model_fn: ModelFn, inputs: list, retries: int, backoff: float, timeout
     return [None] * len(inputs), error
 
 
+def _call_apart(
+    model_fn: ModelFn, inputs: list, retries: int, backoff: float, timeout: float | None
+) -> list[tuple[object, str | None]]:
+    """Answer and error of each input; a failing batch is called again in halves, without further retries."""
+    answers, error = _call(model_fn, inputs, retries, backoff, timeout)
+    if error is None or len(inputs) == 1:
+        return [(a, error) for a in answers]
+    half = len(inputs) // 2
+    return [x for part in (inputs[:half], inputs[half:]) for x in _call_apart(model_fn, part, 0, backoff, timeout)]
+
+
 def apply_model(
     df: DataFrame,
     col: str,
@@ -79,7 +90,9 @@ def apply_model(
 ) -> DataFrame:
     """Adds `out` and `error`: `model_fn` over batches of `col`, null and the reason on failure.
 
-    Null inputs are passed over.  Concurrency is the number of partitions.
+    A batch that still fails after its retries is halved until the inputs at fault stand alone, so
+    only they get null, whatever the batch size and the partitions.  Null inputs are passed
+    over.  Concurrency is the number of partitions.
     """
     result = T.StructType([T.StructField("value", returns), T.StructField("error", T.StringType())])
 
@@ -90,8 +103,8 @@ def apply_model(
             rows = [i for i, t in enumerate(texts) if t is not None]
             for at in range(0, len(rows), batch_size):
                 some = rows[at : at + batch_size]
-                answers, error = _call(model_fn, [texts.iloc[i] for i in some], retries, backoff, timeout)
-                for i, answer in zip(some, answers):
+                answers = _call_apart(model_fn, [texts.iloc[i] for i in some], retries, backoff, timeout)
+                for i, (answer, error) in zip(some, answers, strict=True):
                     values[i], errors[i] = answer, error
             yield pd.DataFrame({"value": pd.Series(values, dtype=object), "error": pd.Series(errors, dtype=object)})
 

@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusengine.functions.vectors import unit
+from corpusengine.session import materialize
 
 BROADCAST_BYTES = 256 << 20
 GRID_QUERIES = 4096
@@ -104,6 +105,9 @@ def _search_block(
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    if len(lengths) and (lengths != lengths[0]).any():
+        raise ValueError(f"vectors of {sorted(set(lengths.tolist()))} components")
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.astype(np.float64).reshape(len(column), -1)
 
@@ -176,7 +180,8 @@ def knn(
     `metric` "l2" scores squared distances, nearest first; "cosine" scores similarities,
     highest first.  Scores are compared at six decimals, ties by vector id.  `within`
     = (array column of the queries, key column of the vectors) confines a query to the
-    vectors whose key it names.
+    vectors whose key it names.  All queries must have the same number of components; vectors
+    with another number, or with a null among them, cannot be compared and are no candidates.
     """
     if metric not in ("l2", "cosine"):
         raise ValueError(f"metric {metric!r}")
@@ -194,8 +199,13 @@ def knn(
     )
     size = q.agg(
         F.count("*").alias("n"),
+        F.min(F.size("q")).alias("least"),
+        F.max(F.size("q")).alias("most"),
         F.coalesce(F.sum(F.size("q") * 8 + (F.size("keys") * 32 if within else F.lit(0)) + 64), F.lit(0)).alias("bytes"),
     ).first()
+    if size["least"] != size["most"]:
+        raise ValueError(f"queries of {size['least']} to {size['most']} components")
+    v = v.where((F.size("v") == F.lit(size["most"])) & ~F.exists("v", lambda x: x.isNull()))
     if size["n"] == 0:
         candidates = v.sparkSession.createDataFrame([], _OUT)
     elif size["bytes"] <= broadcast_bytes:
@@ -221,14 +231,18 @@ def knn_by_section(
     """
     if not legacy_order:
         return knn(queries, vectors, k, within=("sections", "section"), **columns)
-    stride = queries.agg(F.coalesce(F.max(F.size("sections")), F.lit(1))).first()[0] or 1
-    parts = queries.select("*", F.posexplode("sections").alias("_at", "_section")).withColumn(
-        "_part", F.col("query_id") * stride + F.col("_at")
-    ).withColumn("_sections", F.array("_section"))
+    name = columns.pop("query_id", "query_id")
+    parts = queries.select("*", F.posexplode("sections").alias("_at", "_section"))
+    # Parts get numbers of their own, which lead back to any query id.
+    parts = materialize(
+        parts.withColumn("_part", F.monotonically_increasing_id()).withColumn("_sections", F.array("_section")), "query-parts"
+    )
     hits = knn(parts, vectors, k, query_id="_part", within=("_sections", "section"), **columns)
+    owners = parts.select("_part", F.col(name).cast("bigint").alias("_owner"))
     farthest = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
-        hits.withColumn("query_id", F.floor(F.col("query_id") / stride))
+        hits.join(owners, hits["query_id"] == owners["_part"])
+        .select(F.col("_owner").alias("query_id"), "vec_id", "score")
         .withColumn("rank", F.row_number().over(farthest))
         .where(F.col("rank") <= k)
     )

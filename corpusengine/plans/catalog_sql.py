@@ -13,6 +13,7 @@ from corpusengine.functions.text import (
     WS_INNER,
 )
 from corpusengine.plans.inputs import LENIENT_SIZES, STRICT_SIZES
+from corpusengine.sources.corpus import BLOCK_TAGS, BODY_SIZE
 from corpusengine.sources.turns import ERROR_ANSWER
 
 
@@ -62,21 +63,27 @@ def unsafe(x: str) -> str:
 
 
 def spans(sizes: dict[str, float]) -> str:
-    """CTE `spans(doc_id, pos, text, size)`."""
+    """CTE `spans(doc_id, pos, text, size)`: depth by running count, then the last tag opened at that depth."""
     tags = "|".join(sizes)
+    blocks = "|".join(t for t in BLOCK_TAGS if t not in sizes)
     h = "regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g')"
     h = f"regexp_replace({h}, '(?i)</({tags})>', chr(1) || chr(2), 'g')"
     h = f"regexp_replace({h}, '(?i)<({tags})(\\s[^>]*)?>', chr(1) || '\\1' || chr(2), 'g')"
+    h = f"regexp_replace({h}, '(?i)</?({blocks})(\\s[^>]*)?>', chr(1) || chr(3) || chr(2), 'g')"
     h = f"regexp_replace(regexp_replace({h}, '(?i)<br\\s*/?>', ' ', 'g'), '<[^>]*>', '', 'g')"
     cases = " ".join(f"WHEN '{tag}' THEN {size}" for tag, size in sizes.items())
     body = "string_split(part, chr(2))[-1]"
     return f"""
 parts AS (SELECT page_id AS doc_id, unnest(p) AS part, generate_subscripts(p, 1) - 1 AS pos
           FROM (SELECT page_id, string_split({h}, chr(1)) AS p FROM pages)),
+marks AS (SELECT *, CASE WHEN contains(part, chr(2)) THEN lower(string_split(part, chr(2))[1]) ELSE chr(3) END AS mark FROM parts),
+depths AS (SELECT *, CAST(CASE mark {cases} END AS DOUBLE) AS opened,
+           sum(CASE mark WHEN chr(3) THEN 0 WHEN '' THEN -1 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS depth FROM marks),
 spans AS (SELECT * FROM (
           SELECT doc_id, pos::BIGINT AS pos, {strip(decode(body))} AS text,
-                 CAST(CASE lower(string_split(part, chr(2))[1]) {cases} END AS DOUBLE) AS size FROM parts)
-          WHERE size IS NOT NULL AND text <> '')"""
+                 CASE WHEN depth = 0 THEN {BODY_SIZE} ELSE last_value(opened IGNORE NULLS) OVER (
+                   PARTITION BY doc_id, depth ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS size FROM depths)
+          WHERE text <> '')"""
 
 
 def decode(x: str) -> str:

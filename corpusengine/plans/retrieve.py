@@ -18,9 +18,9 @@ def expand(requests: DataFrame, model: inference.ModelFn, **options) -> DataFram
         F.col("request_id").alias("query_id"), "query", parse_lines(F.coalesce("raw", F.lit(""))).alias("candidates")
     )
     variants = inference.guard_expansions(candidates)
-    return variants.select(
-        F.col("query_id").alias("request_id"), F.posexplode("expansions").alias("variant", "query")
-    ).select((F.col("request_id") * 2 + F.col("variant")).alias("query_id"), "request_id", "query")
+    single = variants.select(F.col("query_id").alias("request_id"), F.explode("expansions").alias("query"))
+    # Numbers of their own, whatever the request ids and however many variants there are.
+    return materialize(single.select(F.monotonically_increasing_id().alias("query_id"), "request_id", "query"), "variants")
 
 
 def retrieve(

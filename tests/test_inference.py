@@ -1,3 +1,5 @@
+import pytest
+
 from corpusengine.operators import inference
 from tests.conftest import rows
 
@@ -92,3 +94,16 @@ def test_expansion_guard(spark):
     }
     exact_only = dict(rows(inference.guard_expansions(df, near=False)))
     assert len(exact_only[1]) == 2 and len(exact_only[5]) == 2
+
+
+@pytest.mark.parametrize("batch_size", [1, 3, 256])
+def test_one_failing_text_nulls_itself_only(spark, batch_size):
+    def picky(texts):
+        if "bad" in texts:
+            raise RuntimeError("no")
+        return [[float(len(t))] for t in texts]
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "bad", "ccc", None, "dd"])], "id INT, text STRING").coalesce(1)
+    got = {r.id: (r.embedding, r.error) for r in inference.embed(df, "text", picky, batch_size=batch_size, retries=0).collect()}
+    assert {i: e for i, (e, _) in got.items()} == {0: [1.0], 1: None, 2: [3.0], 3: None, 4: [2.0]}
+    assert got[1][1] == "RuntimeError: no" and got[0][1] is None

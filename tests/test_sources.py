@@ -1,8 +1,11 @@
 import os
 
-from corpusengine.operators.knn import knn
+import pytest
+from pyspark.sql import functions as F
+
+from corpusengine.operators.knn import knn, knn_by_section
 from corpusengine.sources import chunks, corpus, index, topics
-from tests.conftest import rows
+from tests.conftest import SF, rows
 
 TOPIC_ROWS = [(1, "S001", "Prêts", "S001_T001", "Taux", "texte é", ["a", "b"])]
 
@@ -59,3 +62,39 @@ def test_admin(spark):
 def test_neutral_spans(spark):
     pages = spark.createDataFrame([(1, 1, "a\n\n b ")], "doc_id BIGINT, page_id INT, text STRING")
     assert rows(corpus.lines_to_spans(pages, "doc_id", "page_id", "text"), "pos", "text", "size") == [(0, "a", 12.0), (2, "b", 12.0)]
+
+
+def test_spans_keep_all_visible_text(spark):
+    html = "<div>top</div><p>one <b>two</b> three</p>bare<table><tr><td>cell</td><td>next</td></tr></table><h1>Head <i>line</i></h1><footer>end</footer>"
+    pages = spark.createDataFrame([(1, html), (2, None), (3, "<script>x</script>")], "page_id BIGINT, html STRING")
+    sizes = {"h1": 18.0, "b": 14.0, "p": 11.0}
+    got = [(r.text, r.size) for r in corpus.pages_to_spans(pages, sizes).orderBy("pos").collect()]
+    assert got == [
+        ("top", 10.0), ("one", 11.0), ("two", 14.0), ("three", 11.0), ("bare", 10.0), ("cell", 10.0), ("next", 10.0),
+        ("Head line", 18.0), ("end", 10.0),
+    ]
+    listed = corpus.pages_to_spans(pages, sizes, default_size=None)
+    assert rows(listed, "text") == [("Head line",), ("one",), ("three",), ("two",)]
+
+
+def test_spans_of_the_given_pages_hold_their_visible_characters(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    spans = {r.doc_id: r.n for r in corpus.pages_to_spans(pages).groupBy("doc_id").agg(
+        F.sum(F.length(F.regexp_replace("text", r"\s", ""))).alias("n")).collect()}
+    seen = {r.page_id: r.n for r in corpus.page_text(pages).select("page_id", F.length(F.regexp_replace("text", r"\s", "")).alias("n")).collect()}
+    assert spans == seen
+
+
+def test_vectors_of_other_lengths_and_large_ids(spark):
+    vectors = spark.createDataFrame(
+        [(1, "s", [1.0, 0.0, 5.0]), (2, "s", [3.0]), (3, "s", [0.0, 1.0]), (2**62 + 1, "t", [1.0, 1.0]), (5, "s", [None, 1.0])],
+        "vec_id BIGINT, section STRING, embedding ARRAY<FLOAT>",
+    )
+    query = spark.createDataFrame([(2**62 + 3, [1.0, 1.0], ["s", "t"])], "query_id BIGINT, embedding ARRAY<FLOAT>, sections ARRAY<STRING>")
+    assert rows(knn(query, vectors, 9), "vec_id", "score") == [(3, 1.0), (2**62 + 1, 0.0)]
+    for legacy in (False, True):
+        hits = knn_by_section(query, vectors, 9, legacy_order=legacy)
+        assert {r[:2] for r in rows(hits, "query_id", "vec_id")} == {(2**62 + 3, 3), (2**62 + 3, 2**62 + 1)}
+    mixed = query.unionByName(query.withColumn("embedding", F.array(F.lit(1.0).cast("float"))))
+    with pytest.raises(ValueError):
+        knn(mixed, vectors, 1)
