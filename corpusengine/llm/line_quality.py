@@ -132,7 +132,8 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
     and further columns make no difference.
     """
     packed = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("doc"), text_of(text).alias("t"))
-    return packed.select("doc", measured(F.col("t")).alias("rules"))
+    # As a generator's result: a filter on a plain column would be moved below it and judge each text twice.
+    return packed.select("doc", F.explode_outer(F.array(measured(F.col("t")))).alias("rules"))
 
 
 def clean(docs: DataFrame, text: str = "text", size: str = "n_chars") -> DataFrame:
