@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusengine.operators.knn import knn
+from corpusengine.session import materialize
 
 
 def ivf_train(vectors: DataFrame, nlist: int = 100, vec: str = "embedding", seed: int = 7, rounds: int = 20) -> DataFrame:
@@ -51,7 +52,7 @@ def ivf_search(queries: DataFrame, index: DataFrame, centres: DataFrame, k: int
     cells = probes.groupBy("query_id").agg(F.collect_list("vec_id").alias("cells"))
     qid = columns.get("query_id", "query_id")
     probing = queries.join(cells.withColumnRenamed("query_id", "_q"), F.col(qid) == F.col("_q")).drop("_q")
-    return knn(probing, index, k, within=("cells", "cell"), **columns)
+    return knn(materialize(probing, "probes"), index, k, within=("cells", "cell"), **columns)
 
 
 def _query_side(columns: dict) -> dict:

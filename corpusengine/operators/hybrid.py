@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from corpusengine.functions.text import words
 from corpusengine.operators.knn import knn
-from corpusengine.operators.lexical import bm25, query_sections, small_side
+from corpusengine.operators.lexical import bm25, query_sections
 from corpusengine.operators.sequences import with_dense_id
-from corpusengine.session import materialize
+from corpusengine.session import materialize, small_side
 
 
 def section_pool(queries: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def route(
             F.sort_array(F.collect_list(F.struct("rank", "section"))), lambda x: x["section"]
         ).alias("candidates")
     )
-    first = [r[0] for r in sections.select("section").distinct().orderBy("section").limit(keep).collect()]
+    first = [r[0] for r in numbered.select("section").distinct().orderBy("section").limit(keep).collect()]
     routed = queries.select("query_id").join(ranked, "query_id", "left").select(
         "query_id", F.coalesce("candidates", F.array(*[F.lit(s) for s in first])).alias("candidates")
     )
@@ -117,7 +117,9 @@ def vector_hits(
         near = knn(queries, chunks, k, vec_id="chunk_id", within=("sections", "section"))
         return near.select("query_id", F.col("vec_id").alias("chunk_id"), "score", "rank")
     near = knn(queries, chunks, k * overfetch, vec_id="chunk_id").withColumnRenamed("vec_id", "chunk_id")
-    placed = near.join(chunks.select("chunk_id", "section"), "chunk_id")
+    # Written because measuring it must not search twice.
+    near = small_side(materialize(near, "near-hits"))
+    placed = chunks.select("chunk_id", "section").join(near, "chunk_id")
     best = W.partitionBy("query_id").orderBy("rank")
     return (
         in_pool(placed, queries)

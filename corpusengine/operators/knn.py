@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusengine.functions.text import normalize_section
 from corpusengine.functions.vectors import unit
-from corpusengine.session import materialize
+from corpusengine.session import among, materialize, small_side
 
 BROADCAST_BYTES = 256 << 20
 GRID_QUERIES = 4096
@@ -180,7 +181,7 @@ def knn(
     `metric` "l2" scores squared distances, nearest first; "cosine" scores similarities,
     highest first.  Scores are compared at six decimals, ties by vector id.  `within`
     = (array column of the queries, key column of the vectors) confines a query to the
-    vectors whose key it names.  All queries must have the same number of components; vectors
+    vectors whose key it names; of a table stored by that key only the named parts are read.  All queries must have the same number of components; vectors
     with another number, or with a null among them, cannot be compared and are no candidates.
     """
     if metric not in ("l2", "cosine"):
@@ -191,6 +192,9 @@ def knn(
         ready(query_vec).alias("q"),
         *([F.col(within[0]).alias("keys")] if within else []),
     )
+    if within:
+        named = queries.select(F.explode(within[0]).alias("key")).where("key IS NOT NULL")
+        vectors = among(vectors, within[1], named.distinct())
     narrow = (lambda c: unit(F.col(c))) if metric == "cosine" else F.col
     v = vectors.where(F.col(vec).isNotNull() & (F.size(vec) > 0)).select(
         F.col(vec_id).cast("bigint").alias("vec_id"),
@@ -248,6 +252,23 @@ def knn_by_section(
     )
 
 
+def section_index(vectors: DataFrame, known: DataFrame) -> DataFrame:
+    """`vectors` with normalised `section`; names not among `known`'s go under `default`."""
+    names = small_side(known.select(normalize_section(F.col("section")).alias("_known")).distinct())
+    named = vectors.withColumn("section", normalize_section(F.col("section")))
+    placed = named.join(names, F.col("section") == F.col("_known"), "left")
+    return placed.withColumn("section", F.coalesce("_known", F.lit("default"))).drop("_known")
+
+
+def knn_in_named_sections(queries: DataFrame, index: DataFrame, k: int = 5, metric: str = "cosine", **columns) -> DataFrame:
+    """k-NN inside the sections of a `section_index` that each query names in any spelling.
+
+    A missing name asks for `default`; a name that the index does not have finds nothing.
+    """
+    asked = queries.withColumn("sections", F.transform("sections", normalize_section))
+    return knn_by_section(asked, index, k, metric=metric, **columns)
+
+
 def normalize_vectors(df: DataFrame, col: str = "embedding") -> DataFrame:
     return df.withColumn(col, unit(F.col(col)))
 

@@ -2,26 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusengine.functions.arrays import term_counts
 from corpusengine.functions.text import words
-from corpusengine.session import materialize
-
-# Up to this size the query side travels to the executors; beyond it the joins shuffle.
-BROADCAST_ROWS = 1_000_000
-
-
-def small_side(df: DataFrame, limit_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` marked for broadcast if it is counted to be small, else left to a shuffle join.
-
-    The count stops at the limit, so it stays cheap for large inputs.
-    """
-    small = df.limit(limit_rows + 1).count() <= limit_rows
-    return F.broadcast(df) if small else df
-
+from corpusengine.session import among, materialize, small_side
 
 def query_sections(queries: DataFrame) -> DataFrame:
     """Distinct `(query_id, section)` of a query batch with a `sections` array."""
@@ -38,10 +26,35 @@ def _terms(chunks: DataFrame) -> DataFrame:
 def section_statistics(chunks: DataFrame) -> DataFrame:
     """`(section, term, df, len)` written once; the row without term holds chunk and token counts.
 
-    This is the lexical index of a corpus.  It is much smaller than the corpus and serves
-    any number of query batches.
+    It is much smaller than the corpus and serves any number of query batches.
     """
-    rows = _terms(chunks).select(
+    return _statistics(_terms(chunks))
+
+
+def save_index(chunks: DataFrame, folder: str) -> None:
+    """Write the lexical index: term frequencies of the chunks by section, and section statistics."""
+    spark = chunks.sparkSession
+    _terms(chunks).hint("rebalance", F.col("section")).write.mode("overwrite").partitionBy("section").parquet(f"{folder}/terms")
+    _counts(_stored_terms(spark, folder)).write.mode("overwrite").parquet(f"{folder}/statistics")
+
+
+def load_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The stored `(terms, stats)` for `bm25`, which then reads the asked sections only."""
+    return _stored_terms(spark, folder), spark.read.parquet(f"{folder}/statistics")
+
+
+def _stored_terms(spark: SparkSession, folder: str) -> DataFrame:
+    found = spark.read.parquet(f"{folder}/terms").schema
+    named = [T.StructField("section", T.StringType()) if f.name == "section" else f for f in found]
+    return spark.read.schema(T.StructType(named)).parquet(f"{folder}/terms")
+
+
+def _statistics(terms: DataFrame) -> DataFrame:
+    return materialize(_counts(terms), "section-terms")
+
+
+def _counts(terms: DataFrame) -> DataFrame:
+    rows = terms.select(
         "section",
         "len",
         # The outer form keeps the optimizer from evaluating the term counts once more as a filter.
@@ -49,11 +62,9 @@ def section_statistics(chunks: DataFrame) -> DataFrame:
             F.concat(F.array(F.lit(None).cast("string")), F.transform("terms", lambda x: x["term"]))
         ).alias("term"),
     )
-    stats = rows.groupBy("section", "term").agg(
+    return rows.groupBy("section", "term").agg(
         F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("len"))).alias("len")
     )
-    return materialize(stats, "section-terms")
-
 
 def _term_weights(queries: DataFrame, stats: DataFrame, eps: float) -> DataFrame:
     """`(query_id, section, term, w, avgdl)`: idf of the query's pool times the term's count in the query."""
@@ -108,11 +119,13 @@ def bm25(
     eps: float = 0.25,
     decimals: int = 6,
     stats: DataFrame | None = None,
+    terms: DataFrame | None = None,
 ) -> DataFrame:
     """Top-`k` chunks `(query_id, chunk_id, score, rank)` per query, positive scores only.
 
     `queries`: query_id, query, sections; `chunks`: chunk_id, section, text; `stats`: the
-    corpus's `section_statistics`, built here if not given.  Corpus statistics are those of
+    corpus's `section_statistics` and `terms` its term frequencies, both from `load_index` or
+    built here for the asked sections, which tokenises their chunks once.  Corpus statistics are those of
     the query's own pool (all chunks of its sections).  Because every chunk has one
     section, they are sums of per-section statistics, and queries with the same sections
     share them.  Scores are compared at `decimals`, ties by chunk id.
@@ -121,12 +134,16 @@ def bm25(
     and the first cut to `k` need no further shuffle, so the volume moved does not grow
     with the number of queries.
     """
-    stats = section_statistics(chunks) if stats is None else stats
+    asked = query_sections(queries).where("section IS NOT NULL").select("section").distinct()
+    if terms is None:
+        terms = materialize(_terms(among(chunks, "section", asked)), "chunk-terms")
+    else:
+        terms = among(terms, "section", asked)
+    stats = _statistics(terms) if stats is None else stats
     weights = materialize(_term_weights(queries, stats, eps), "term-weights")
     wanted = weights.select("section", "term").distinct()
     postings = (
-        _terms(chunks)
-        .select("chunk_id", "section", "len", F.explode_outer("terms").alias("t"))
+        terms.select("chunk_id", "section", "len", F.explode_outer("terms").alias("t"))
         .select("chunk_id", "section", "len", F.col("t.term").alias("term"), F.col("t.tf").alias("tf"))
         .join(small_side(wanted), ["section", "term"], "left_semi")
         .repartition("chunk_id")

@@ -132,13 +132,16 @@ def normalize_text(spark, sf):
 
 @query
 def normalize_section(spark, sf):
-    name = F.concat(F.lit("  Section: "), "source", F.lit(" ("), F.upper("lang"), F.lit(")! "), F.left("text", F.instr("text", "\n")))
+    name = F.concat(F.lit("  Section: "), "source", F.lit(" ("), F.upper("lang"), F.lit(")! "), "text")
     return table(spark, sf, "documents").select("doc_id", t.normalize_section(name).alias("section"))
 
 
 @query
 def nfkc_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", t.nfkc(F.col("text")).alias("text"))
+    """Texts with full-width digits and a ligature, which NFKC turns back."""
+    wide = "".join(chr(0xFF10 + n) for n in range(10))
+    compat = F.replace(F.translate("text", "0123456789", wide), F.lit("fi"), F.lit("\ufb01"))
+    return table(spark, sf, "documents").select("doc_id", t.nfkc(compat).alias("text"))
 
 
 @query
@@ -515,6 +518,20 @@ def knn_by_section_legacy(spark, sf):
     return _hits(knn.knn_by_section(vector_queries(spark, sf), labelled_vectors(spark, sf), legacy_order=True))
 
 
+@query
+def knn_sections_default(spark, sf):
+    """Cosine search in named sections; labels above 6 are unknown and lie under `default`."""
+    vectors = table(spark, sf, "embeddings")
+    spelt = lambda n: F.concat(F.lit("  LABEL "), n.cast("string"), F.lit("! "))
+    known = vectors.where("label <= 6").select(spelt(F.col("label")).alias("section"))
+    index = knn.section_index(vectors.select("vec_id", "embedding", spelt(F.col("label")).alias("section")), known)
+    following = F.when(F.col("label") % 2 != 0, spelt((F.col("label") + 1) % 10))
+    queries = vectors.select(
+        F.col("vec_id").alias("query_id"), "embedding", F.array(spelt(F.col("label")), following).alias("sections")
+    )
+    return _hits(knn.knn_in_named_sections(queries, index))
+
+
 @query
 def flat_search(spark, sf):
     return knn.flat_search(vector_queries(spark, sf), labelled_vectors(spark, sf)).select("query_id", "vec_id", "score")

@@ -318,10 +318,10 @@ UNION ALL SELECT -doc_id - 1, 'quality ' || quality, 'now' FROM labels""",
     "turn_append": _with(TURNS, f"SELECT conversation_id, turn, query, coalesce(answer, '{ERROR_ANSWER}') AS answer FROM pairs"),
     "normalize_text": f"SELECT doc_id, {normalize('text')} AS text FROM documents WHERE text <> ''",
     "normalize_section": _with(
-        "named AS (SELECT doc_id, '  Section: ' || source || ' (' || upper(lang) || ')! ' || left(text, instr(text, chr(10))) AS s FROM documents)",
+        "named AS (SELECT doc_id, '  Section: ' || source || ' (' || upper(lang) || ')! ' || text AS s FROM documents)",
         f"SELECT doc_id, {section_name('s')} AS section FROM named",
     ),
-    # The tables hold no characters with compatibility forms, so NFC equals NFKC on them.
+    # The query's digits and ligatures are the tables' own again; these have no compatibility forms, so NFC equals NFKC.
     "nfkc_text": "SELECT doc_id, nfc_normalize(text) AS text FROM documents",
     "truncate_fields": """
 SELECT doc_id, left(text, 500) AS keyword_text, left(text, 600) AS keyword_text_long, left(text, 2000) AS topic_text,
@@ -429,6 +429,15 @@ each AS (SELECT *, row_number() OVER (PARTITION BY query_id, section ORDER BY d,
 far AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d DESC, vec_id) AS rank FROM each WHERE r <= 5)""",
         "SELECT query_id, vec_id, d AS score, rank FROM far WHERE rank <= 5",
     ),
+    "knn_sections_default": _with(
+        f"""{VECTORS},
+placed AS (SELECT u.vec_id, u.u, CASE WHEN e.label <= 6 THEN e.label ELSE -1 END AS s FROM unit u JOIN embeddings e USING (vec_id)),
+asks AS (SELECT vec_id, label AS s FROM embeddings
+         UNION SELECT vec_id, CASE WHEN label % 2 = 0 THEN -1 ELSE (label + 1) % 10 END FROM embeddings)""",
+        """SELECT * FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+             SELECT q.vec_id AS query_id, d.vec_id, round(list_inner_product(q.u, d.u), 6) + 0.0 AS score
+             FROM asks a JOIN unit q USING (vec_id) JOIN placed d ON d.s = a.s)) WHERE rank <= 5""",
+    ),
     "flat_search": _with(
         f"""{PAIRS},
 own AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS r FROM pairs WHERE label = l0),

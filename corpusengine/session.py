@@ -6,8 +6,14 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+# Up to this size, as text, a side travels to the executors; beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
+# Up to so many keys reach a scan as a filter; beyond it a semi-join selects the rows.
+PUSHED_KEYS = 1000
 
 _local_scratch: tempfile.TemporaryDirectory | None = None
 
@@ -65,3 +71,24 @@ def spread(df: DataFrame) -> DataFrame:
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
+def small_side(df: DataFrame, limit_rows: int = BROADCAST_ROWS, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` marked for broadcast if it is measured to be small, else left to a shuffle join.
+
+    The measurement stops at the row limit, so it stays cheap for large inputs.
+    """
+    width = F.octet_length(F.to_json(F.struct(*df.columns)))
+    size = df.limit(limit_rows + 1).agg(F.count("*").alias("n"), F.sum(width).alias("bytes")).first()
+    return F.broadcast(df) if size["n"] <= limit_rows and (size["bytes"] or 0) <= limit_bytes else df
+
+
+def among(df: DataFrame, key: str, asked: DataFrame) -> DataFrame:
+    """Rows of `df` whose `key` is in the one column of `asked`, which holds distinct values.
+
+    A few keys become a filter that prunes the partitions and row groups of a stored table.
+    """
+    keys = [r[0] for r in asked.limit(PUSHED_KEYS + 1).collect()]
+    if len(keys) <= PUSHED_KEYS:
+        return df.where(F.col(key).isin(keys))
+    return df.join(asked.toDF("_asked"), F.col(key) == F.col("_asked"), "left_semi")

@@ -23,14 +23,16 @@ from corpusengine.session import materialize
 def exact_stream(texts: DataFrame, text: str, min_len: int = MIN_LEN, event_time: str | None = None, delay: str = "1 day") -> DataFrame:
     """Streaming texts without exact repeats; texts shorter than `min_len` all pass.
 
-    State is one hash pair per distinct long text.  With `event_time` the state is dropped
+    State is one hash per distinct long text; short texts pass around it.  With `event_time` the state is dropped
     after `delay`, which bounds it and lets older repeats pass.
     """
-    free = F.length(text) < min_len
-    keyed = texts.withColumn("_key", F.when(free, F.uuid()).otherwise(F.sha2(text, 256)))
+    free = F.coalesce(F.length(text) < min_len, F.lit(False))
+    keyed = texts.where(~free).withColumn("_key", F.sha2(text, 256))
     if event_time is None:
-        return keyed.dropDuplicates(["_key"]).drop("_key")
-    return keyed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
+        firsts = keyed.dropDuplicates(["_key"])
+    else:
+        firsts = keyed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["_key"])
+    return firsts.drop("_key").unionByName(texts.where(free))
 
 
 def _registry(spark: SparkSession, path: str) -> DataFrame | None:

@@ -1,8 +1,12 @@
+import re
+
 import numpy as np
 import pytest
 from tests.conftest import SF, rows
 
 from corpusengine.operators import ann, hybrid, knn, lexical
+from corpusengine import session
+from corpusengine.sources import index
 from corpusengine.plans.inputs import labelled_vectors, vector_queries
 
 
@@ -162,3 +166,42 @@ def test_flat_search_legacy_takes_the_worst(spark):
     q = spark.createDataFrame([(1, [0.0], ["s"])], "query_id BIGINT, embedding ARRAY<FLOAT>, sections ARRAY<STRING>")
     assert [g[2] for g in table(knn.knn_by_section(q, v, 3))] == [1, 2, 3]
     assert [g[2] for g in table(knn.knn_by_section(q, v, 3, legacy_order=True))] == [3, 2, 1]
+
+
+@pytest.mark.parametrize("kind", ["section", "cell", "code"])
+def test_stored_index_is_pruned(spark, vectors, queries, tmp_path, kind):
+    """Only the asked parts of an index stored by its key are read, with the same hits."""
+    few = queries.where("query_id < 3").cache()
+    if kind == "section":
+        keyed, find = vectors, lambda index: knn.knn_by_section(few, index)
+    elif kind == "cell":
+        centres = ann.ivf_train(vectors, 8)
+        keyed, find = ann.ivf_assign(vectors, centres), lambda index: ann.ivf_search(few, index, centres, nprobe=1)
+    else:
+        keyed, find = ann.lsh_codes(vectors, 64, 6), lambda index: ann.lsh_search(few, index, 64, bits=6)
+    index.save(keyed, str(tmp_path), kind, "vec_id")
+    stored, _ = index.load(spark, str(tmp_path))
+    hits = find(stored)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    filters = re.findall(r"PartitionFilters: \[([^\]]*)\]", plan)
+    assert any(kind in f for f in filters), plan
+    assert rows(hits) == rows(find(keyed)) != []
+
+
+def test_more_keys_than_are_pushed(spark, vectors, queries, monkeypatch):
+    want = rows(knn.knn_by_section(queries, vectors))
+    monkeypatch.setattr(session, "PUSHED_KEYS", 1)
+    assert rows(knn.knn_by_section(queries, vectors)) == want
+
+
+def test_stored_lexical_index(spark, tiny, tmp_path):
+    queries, chunks = tiny
+    lexical.save_index(chunks, str(tmp_path))
+    terms, stats = lexical.load_index(spark, str(tmp_path))
+    assert rows(lexical.bm25(queries, chunks, stats=stats, terms=terms)) == rows(lexical.bm25(queries, chunks)) != []
+
+
+def test_small_side_is_bounded_in_bytes(spark):
+    wide = spark.range(10).selectExpr("id", "repeat('x', 1000) AS text")
+    assert "broadcast" in session.small_side(wide)._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" not in session.small_side(wide, limit_bytes=5000)._jdf.queryExecution().logical().toString().lower()

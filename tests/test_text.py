@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from corpusengine.functions import text as t
 from corpusengine.functions.registry import register
+from corpusengine.operators.hybrid import overlap_score
 
 
 def one(spark, value, fn):
@@ -129,3 +130,18 @@ def test_sql_names(spark):
         "SELECT d.id, c.* FROM VALUES (1, 'aaa bbb ccc ddd'), (2, ' ') AS d(id, text), LATERAL split_chunks(d.text, 8, 0) c"
     )
     assert [tuple(r) for r in split.collect()] == [(1, 1, "aaa bbb"), (1, 2, "ccc ddd")]
+
+
+def test_sql_measures(spark):
+    """The SQL names give what the Column functions give."""
+    register(spark)
+    data = spark.createDataFrame(
+        [("One two  two", " two three "), ("", ""), ("same", "same"), ("A full sentence, long enough to count as one of a proper length here, is it.", "is")],
+        "a STRING, b STRING",
+    ).withColumn("k", F.array(F.lit("two"), F.lit("IS")))
+    got = data.select(
+        F.expr("word_overlap(a, b)") == overlap_score(F.col("a"), F.col("b")),
+        F.expr("confidence(a, k)") == t.confidence(F.col("a"), F.col("k")),
+        F.expr("confidence(a, NULL)") == t.confidence(F.col("a"), F.lit(None).cast("array<string>")),
+    ).collect()
+    assert {tuple(r) for r in got} == {(True, True, True)}
