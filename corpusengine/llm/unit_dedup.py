@@ -1,9 +1,16 @@
-"""Repeated passages by hashes of normalised units.
+"""Repeated passages by hashes of normalised units and of word windows.
 
-A unit is a sentence of a line.  Units are normalised and hashed, the digests are grouped over the
-corpus, and the occurrence of least rank `(doc_id, row, place)` of each is kept.  Runs of
-neighbouring repeats that are long enough are removed; their offsets in the original text stay
-with the result.
+A unit is a sentence of a line; a window is any `min_run_words` words in a row.  Both are lower-cased
+and hashed, the digests are grouped over the corpus, and the occurrence of least rank
+`(doc_id, row, place)` of each is kept.  Runs of touching repeats that are long enough are
+removed; their offsets in the original text stay with the result.
+
+Windows give a passage its true word bounds wherever its ends lie.  The least hash of the shorter word
+groups in a window follows from its words, so equal windows have it in common, and neighbouring
+windows with one least hash form a stretch.  A first pass counts least hashes and compares their
+stretches.  Least hashes found once have no equal windows; where all stretches of a least hash are
+equal, each is one piece; else their windows are.  Bitmaps of both kinds travel to the tasks.  Their size is
+fixed; a chance hit holds for all windows of a least hash alike, so it costs work, not results.
 """
 
 from __future__ import annotations
@@ -12,6 +19,8 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +32,16 @@ from corpusengine.session import materialize
 MIN_RUN_WORDS = 25
 #: A unit ends at a line end, or at white space after a sentence end.
 _UNIT = re.compile(r"[^\n]+?(?:[.!?…。！？][\"')\]”’»]*(?=\s)|(?=\n|\Z))")
-UNIT_KINDS = f"{ROW} long, doc_id long, unit long, start long, end long, n_words long, key binary"
+_WORD = re.compile(r"\S+")
+#: What a row of `pieces` is: a sentence, a window or stretch of them, or a window of one group of words over and over.
+UNIT, WINDOW, PERIODIC = 0, 1, 2
+PIECE_KINDS = f"{ROW} long, doc_id long, kind long, word long, start long, end long, n_words long, key binary"
 SPAN_KINDS = f"{ROW} long, doc_id long, start long, end long, n_units long, n_words long, kept_doc_id long"
+#: Bits of a map of least hashes, and of one row of it.
+FILTER_BITS, ROW_BITS = 1 << 27, 1 << 15
+#: Windows and stretches of one record batch.
+WINDOW_ROWS = 50_000
+_BASE = 0x9E3779B97F4A7C13
 
 
 def units_of(text: str) -> Iterator[tuple[int, int, int, bytes]]:
@@ -36,66 +53,214 @@ def units_of(text: str) -> Iterator[tuple[int, int, int, bytes]]:
             yield m.start(), m.end(), len(words), hashlib.blake2b(raw, digest_size=16).digest()
 
 
-def units(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Every unit of every row; columns as in `UNIT_KINDS`."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Sums:
+    """Hashes of runs of neighbours of `h`, as differences of prefix sums of a polynomial modulo 2 ** 64."""
+
+    def __init__(self, h: np.ndarray):
+        self.power = np.cumprod(np.full(len(h), _BASE, np.uint64))
+        inverse = np.cumprod(np.full(len(h), pow(_BASE, -1, 1 << 64), np.uint64))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * inverse)])
+
+    def of(self, start: np.ndarray, size) -> np.ndarray:
+        total = (self.sums[start + size] - self.sums[start]) * self.power[start]
+        return _mixed(total + np.asarray(size).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _least(g: np.ndarray, size: int) -> np.ndarray:
+    """The least of each `size` neighbours of `g`."""
+    width = 1
+    while 2 * width <= size:
+        g, width = np.minimum(g[:-width], g[width:]), 2 * width
+    return np.minimum(g[: len(g) - size + width], g[size - width :])
+
+
+class Windows:
+    """All windows of `size` words of some texts, and their stretches.
+
+    Of windows: `at` (first word, over all texts), `doc`, `word` (first word, in its text).
+    Of stretches: `first` (window), `count`, `least`.
+    """
+
+    def __init__(self, texts: list[str], size: int):
+        words = [t.lower().split() for t in texts]
+        counts = np.array([len(w) for w in words], np.int64)
+        flat = np.array([x for w in words for x in w], object)
+        self.size, self.group = size, (size + 1) // 2
+        self.at = self.doc = self.word = self.first = self.count = np.empty(0, np.int64)
+        self.least = np.empty(0, np.uint64)
+        if len(flat) < size:
+            return
+        self.h = pd.util.hash_array(flat)
+        self.sums = Sums(self.h)
+        doc = np.repeat(np.arange(len(texts)), counts)
+        self.at = np.nonzero(doc[: len(doc) - size + 1] == doc[size - 1 :])[0]
+        if not len(self.at):
+            return
+        self.doc = doc[self.at]
+        self.word = self.at - (np.cumsum(counts) - counts)[self.doc]
+        groups = self.sums.of(np.arange(len(flat) - self.group + 1), self.group)
+        least = _least(groups, size - self.group + 1)[self.at]
+        self.first = np.nonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (np.diff(self.doc) != 0)]))[0]
+        self.count, self.least = np.diff(np.append(self.first, len(least))), least[self.first]
+
+    def stretches(self) -> tuple[np.ndarray, np.ndarray]:
+        """`(least, hash)` of each stretch; with a second hash if its own windows may be equal or are periodic."""
+        if not len(self.at):
+            return self.least, self.least
+        whole = self.sums.of(self.at[self.first], self.count + self.size - 1)
+        periodic = np.logical_or.reduceat(self.periodic(np.arange(len(self.at))), self.first)
+        own = np.nonzero(periodic | (self.count > self.size - self.group + 1))[0]
+        return np.concatenate([self.least, self.least[own]]), np.concatenate([whole, ~whole[own]])
+
+    def keys(self, window: np.ndarray, n_words: np.ndarray) -> pa.Array:
+        """128 bits for each run of words that begins with a window."""
+        halves = [sums.of(self.at[window], n_words) for sums in (self.sums, Sums(_mixed(self.h)))]
+        raw = np.ascontiguousarray(np.stack(halves, axis=1)).tobytes()
+        return pa.Array.from_buffers(pa.binary(16), len(window), [None, pa.py_buffer(raw)]).cast(pa.binary())
+
+    def periodic(self, window: np.ndarray) -> np.ndarray:
+        """Whether the words of the windows repeat after at most half the window."""
+        out, at = np.zeros(len(window), bool), self.at[window]
+        for p in range(1, self.size // 2 + 1):
+            same = np.concatenate([[0], np.cumsum(self.h[p:] == self.h[:-p])])
+            out |= same[at + self.size - p] - same[at] == self.size - p
+        return out
+
+
+def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    for batch in batches:
+        for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
+            yield part, [x.as_py().decode("utf-8", "replace") for x in part.column(column)]
+
+
+def least_maps(docs: DataFrame, text: str, size: int) -> np.ndarray:
+    """Two bitmaps of least hashes: of those that occur more than once, and of those with unequal stretches."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
-                rows = []
-                for row, doc, value in zip(*(part.column(i) for i in range(3)), strict=True):
-                    row, doc = row.as_py(), doc.as_py()
-                    rows += [(row, doc, n, *u) for n, u in enumerate(units_of(value.as_py().decode("utf-8", "replace")))]
-                columns = zip(*rows, strict=True) if rows else [[]] * 7
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.binary() if i == 6 else pa.int64()) for i, c in enumerate(columns)], NAMES
-                )
+        for _, texts in _texts(batches, 0):
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in Windows(texts, size).stretches()], ["least", "whole"])
+
+    # Each row of a map is made in one task, from the places of its bits.
+    place = F.col("least").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
+    places = F.when(F.col("low") == F.col("high"), F.array(place)).otherwise(F.array(place, place + FILTER_BITS))
+    rows = (
+        docs.select(text_of(text).cast("binary").alias("text")).mapInArrow(cut, "least long, whole long")
+        .groupBy("least").agg(F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high"))
+        .where("n > 1").select(F.explode(places).alias("place"))
+        .select(F.bitmap_bucket_number("place").alias("row"), F.bitmap_bit_position("place").alias("bit"))
+        .repartition("row").groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    )
+    out = np.zeros((2 * FILTER_BITS // ROW_BITS, ROW_BITS // 8), np.uint8)
+    for r in rows.collect():
+        out[r["row"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(2, -1)
+
+
+def pieces(docs: DataFrame, text: str = "text", size: int = MIN_RUN_WORDS) -> DataFrame:
+    """Every unit of every row, and the windows and stretches that may have an equal; columns as in `PIECE_KINDS`."""
+    found = docs.sparkSession.sparkContext.broadcast(least_maps(docs, text, size))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in _texts(batches, 2):
+            ids, doc_ids = part.column(0), part.column(1)
+            rows = []
+            for row, doc, value in zip(ids.to_pylist(), doc_ids.to_pylist(), texts, strict=True):
+                word = 0
+                for start, end, n, key in units_of(value):
+                    rows.append((row, doc, UNIT, word, start, end, n, key))
+                    word += n
+            columns = zip(*rows, strict=True) if rows else [[]] * len(NAMES)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.binary() if i == 7 else pa.int64()) for i, c in enumerate(columns)], NAMES
+            )
+            windows = Windows(texts, size)
+            place = (windows.least & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+            repeated, varied = ((m[place >> 3] >> (place & 7).astype(np.uint8)) & 1 for m in found.value)
+            # The stretches that stay whole, and each window of the others.
+            times = np.where(varied, windows.count, 1) * repeated
+            chosen = np.repeat(windows.first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            if not len(chosen):
+                continue
+            n_words = size - 1 + np.repeat(np.where(varied, 1, windows.count), times)
+            doc, word = windows.doc[chosen], windows.word[chosen]
+            start, end = np.empty(len(chosen), np.int64), np.empty(len(chosen), np.int64)
+            cuts = np.append(np.unique(doc, return_index=True)[1], len(chosen))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                bounds = np.array([m.span() for m in _WORD.finditer(texts[doc[a]])], np.int64)
+                start[a:b], end[a:b] = bounds[word[a:b], 0], bounds[word[a:b] + n_words[a:b] - 1, 1]
+            kind = np.where(windows.periodic(chosen), PERIODIC, WINDOW)
+            whole = pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(doc)), doc_ids.take(pa.array(doc)), pa.array(kind), pa.array(word), pa.array(start), pa.array(end),
+                 pa.array(n_words), windows.keys(chosen, n_words)], NAMES
+            )
+            for i in range(0, len(chosen), WINDOW_ROWS):
+                yield whole.slice(i, WINDOW_ROWS)
 
     rows = numbered(docs, col("doc_id").cast("long").alias("doc_id"), text_of(text).cast("binary").alias("text"))
-    return rows.mapInArrow(cut, UNIT_KINDS)
+    return rows.mapInArrow(cut, PIECE_KINDS)
 
 
-NAMES = [part.split(" ")[0] for part in UNIT_KINDS.split(", ")]
+NAMES = [part.split(" ")[0] for part in PIECE_KINDS.split(", ")]
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", min_run_words: int = MIN_RUN_WORDS) -> DataFrame:
-    """Spans to remove; columns as in `SPAN_KINDS`, with the document that keeps the first of its units.
+    """Spans to remove; columns as in `SPAN_KINDS`, with the document that keeps the first of its pieces.
 
     `docs` is a table.  A row is a document of its own; rank is `doc_id`, nulls last, then the
     row's place in the table, then the place in the text, so repeats inside a text go too.  Null
-    and empty texts have no units.
+    and empty texts have no units.  `n_units` counts the whole repeated units of a span.
+
+    Inside one text, a window repeats only one that it does not overlap, and a periodic one
+    repeats none: a word said a thousand times is one long unit, no passage and its copies.
 
-    A digest of a third of all units is one row of each task when first occurrences are
+    A digest of a third of all pieces is one row of each task when first occurrences are
     found.  In the join with them it is one key, which adaptive execution divides, as the
     first occurrences have been written and both sides are dealt out anew.
     """
-    placed = units(docs, text)
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW, "unit")
+    size = max(1, min_run_words)
+    placed = materialize(pieces(docs, text, size), "pieces")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW, "word")
     firsts = materialize(
         placed.groupBy("key")
         .agg(F.min(rank).alias("first"), F.count("*").alias("n"))
         .where("n > 1")
-        .select("key", F.col("first.doc_id").alias("kept_doc_id"), F.col(f"first.{ROW}").alias("kept_row"), F.col("first.unit").alias("kept_unit")),
-        "first-units",
+        .select("key", F.col("first.doc_id").alias("kept_doc_id"), F.col(f"first.{ROW}").alias("kept_row"), F.col("first.word").alias("kept_word")),
+        "first-pieces",
     )
-    repeats = placed.join(firsts, "key").where((F.col(ROW) != F.col("kept_row")) | (F.col("unit") != F.col("kept_unit")))
+    apart = (F.col("kind") == WINDOW) & (F.col("word") >= F.col("kept_word") + size)
+    inside = (F.col("word") != F.col("kept_word")) & ((F.col("kind") == UNIT) | apart)
+    repeats = placed.join(firsts, "key").where((F.col(ROW) != F.col("kept_row")) | inside)
     by_row = repeats.groupBy(ROW, "doc_id").agg(
-        F.sort_array(F.collect_list(F.struct("unit", "start", "end", "n_words", "kept_doc_id"))).alias("units")
+        F.collect_list(F.struct("word", "kind", "start", "end", "n_words", "kept_doc_id")).alias("pieces")
     )
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [part.split(" ")[0] for part in SPAN_KINDS.split(", ")]
         for batch in batches:
             out = []
             for row, doc, value in zip(*(batch.column(i) for i in range(3)), strict=True):
-                run: list[dict] = []
-                for u in [*value.as_py(), None]:
-                    if run and (u is None or u["unit"] != run[-1]["unit"] + 1):
-                        words = sum(x["n_words"] for x in run)
-                        if words >= min_run_words:
-                            out.append((row.as_py(), doc.as_py(), run[0]["start"], run[-1]["end"], len(run), words, run[0]["kept_doc_id"]))
-                        run = []
-                    run.append(u)
-            names = [part.split(" ")[0] for part in SPAN_KINDS.split(", ")]
+                *parts, kept = value.values.flatten()
+                word, kind, start, end, n_words = (x.to_numpy(zero_copy_only=False) for x in parts)
+                order = np.lexsort([kind, word])
+                word, kind, start, end, n_words = (x[order] for x in (word, kind, start, end, n_words))
+                reach = np.maximum.accumulate(word + n_words)
+                first = np.concatenate([[0], np.nonzero(word[1:] > reach[:-1])[0] + 1])
+                last = np.append(first[1:], len(word)) - 1
+                spans = zip(
+                    np.minimum.reduceat(start, first), np.maximum.reduceat(end, first),
+                    np.add.reduceat((kind == UNIT).astype(np.int64), first), reach[last] - word[first], order[first], strict=True,
+                )
+                out += [
+                    (row.as_py(), doc.as_py(), a, b, n, words, kept[int(at)].as_py())
+                    for a, b, n, words, at in spans
+                    if words >= min_run_words
+                ]
             columns = zip(*out, strict=True) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 

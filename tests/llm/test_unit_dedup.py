@@ -1,3 +1,4 @@
+import random
 import re
 
 from corpusengine.llm import unit_dedup as U
@@ -58,3 +59,55 @@ def test_text_left_and_offsets(make_docs, tmp_path):
         if r.doc.doc_id == 1:
             assert r.kept == "Intro here. Tail.".replace(". ", ".") or r.kept.split() == ["Intro", "here.", "Tail."]
     assert U.without_repeats(make_docs([], tmp_path)).count() == 0
+
+
+def brute_words(rows, size):
+    """Marked words by row: of units and of `size`-word windows seen before, in rank order, in runs of `size` at least."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))
+    units, windows, out = set(), {}, {}
+    for i in order:
+        words = (rows[i][1] or "").lower().split()
+        marked, at = set(), 0
+        for _, _, unit in split(rows[i][1]):
+            n = len(unit.split())
+            if unit in units:
+                marked |= set(range(at, at + n))
+            units.add(unit)
+            at += n
+        for a in range(len(words) - size + 1):
+            window = tuple(words[a : a + size])
+            row, place = windows.setdefault(window, (i, a))
+            periodic = any(window[p:] == window[:-p] for p in range(1, size // 2 + 1))
+            if row != i or (a >= place + size and not periodic):
+                marked |= set(range(a, a + size))
+        ends = [w for w in range(len(words) + 1) if w not in marked]
+        out[i] = {w for a, b in zip([-1, *ends], ends) if b - a > size for w in range(a + 1, b)}
+    return out
+
+
+def test_passages_pasted_in_mid_sentence(make_docs, tmp_path):
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(500)}{rng.choice(['', '', '', '', '.', ' \n', ' '])}" for _ in range(200)) for _ in range(40)]
+    for n in (24, 25, 26, 50, 51, 80, 99):
+        for _ in range(6):
+            source, target = rng.sample(range(40), 2)
+            words = texts[source].split()
+            a = rng.randrange(len(words) - n)
+            passage = " ".join(words[a : a + n]).replace(".", "")
+            at = rng.randrange(20, 180)
+            for i, text in ((source, texts[source]), (target, texts[target])):
+                kept = text.split(" ")
+                texts[i] = " ".join(kept[:at]) + "  " + (passage.upper() if i == target else passage) + " " + " ".join(kept[at:])
+    twice = " ".join(f"v{i}" for i in range(40))
+    texts += [f"one {twice} two {twice} three", "a b c " * 60, "x " + "a b c " * 60, twice + " four"]
+    docs = make_docs(texts, tmp_path)
+    stored = [(r.doc_id, r.text) for r in docs.collect()]
+    numbers = sorted(r[U.ROW] for r in U.numbered(docs).collect())
+    got = {i: set() for i in range(len(stored))}
+    for r in U.repeated_spans(docs).collect():
+        i = numbers.index(r[U.ROW])
+        spans = [m.span() for m in re.finditer(r"\S+", stored[i][1])]
+        found = {w for w, (a, b) in enumerate(spans) if r.start <= a and b <= r.end}
+        assert len(found) == r.n_words and not any(a < r.start < b or a < r.end < b for a, b in spans)
+        got[i] |= found
+    assert got == brute_words(stored, U.MIN_RUN_WORDS) and sum(map(len, got.values())) > 1500
