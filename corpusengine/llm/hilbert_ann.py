@@ -111,7 +111,8 @@ def nearest(
     each counts once; a query's own id is no candidate.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors, vec_id, vector)
+    # Copies would fill windows, blocks and the places of near rows.
+    rows = materialize(usable(vectors, vec_id, vector).dropDuplicates(["id", "v"]), "vectors")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toPandas()["v"]
     if sample.empty:
@@ -155,17 +156,22 @@ def nearest(
             matrix, ids = _matrix(own["v"].to_list()), own["id"].to_numpy()
             step = max(1, 4_000_000 // len(ids))
             squares = np.einsum("ij,ij->i", matrix, matrix)
+            # An id with several vectors takes one of the `k` places.
+            by_id = np.argsort(ids, kind="stable")
+            first = np.unique(ids[by_id], return_index=True)[1]
+            places = min(k, len(first)) - 1
             for i in range(0, len(queries), step):
                 part = queries.iloc[i : i + step]
                 asked_for, asked_ids = _matrix(part["q_v"].to_list()), part["q_id"].to_numpy()
                 rough = squares[None, :] - 2 * asked_for @ matrix.T
                 rough[asked_ids[:, None] == ids[None, :]] = np.inf
-                cut = np.partition(rough, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+                nearest_of_id = rough if len(first) == len(ids) else np.minimum.reduceat(rough[:, by_id], first, axis=1)
+                cut = np.partition(nearest_of_id, places, axis=1)[:, places]
                 slack = 1e-9 * (1 + np.abs(squares).max() + np.einsum("ij,ij->i", asked_for, asked_for))
                 q, c = np.nonzero((rough <= (cut + slack)[:, None]) & np.isfinite(rough))
                 exact = np.sqrt(((asked_for[q] - matrix[c]) ** 2).sum(axis=1))
-                found = pd.DataFrame({"query_id": asked_ids[q], "vec_id": ids[c], "score": exact}).drop_duplicates()
-                found = found.sort_values(["query_id", "score", "vec_id"])
+                found = pd.DataFrame({"query_id": asked_ids[q], "vec_id": ids[c], "score": exact})
+                found = found.sort_values(["query_id", "score", "vec_id"]).drop_duplicates(["query_id", "vec_id"])
                 parts.append(found.groupby("query_id", sort=False).head(k))
         if not parts:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})

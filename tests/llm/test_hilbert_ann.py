@@ -58,3 +58,22 @@ def test_odd_vectors(spark):
     same = spark.range(40).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
     assert {r.query_id: 0 for r in H.nearest(same, F.col("id") < 3).collect()}.keys() == {0, 1, 2}
     assert sorted(r.vec_id for r in H.nearest(same, F.col("id") == 3).collect()) == [0, 1, 2, 4, 5, 6, 7, 8, 9, 10]
+
+
+def test_repeated_rows_take_no_places(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(40)]
+    rows = rows * 2 + [rows[7]] * 18 + [(100, (np.array(rows[3][1]) + 0.001 * n).tolist()) for n in range(12)]
+    want = {}
+    for q, v in rows:
+        if q < 40:
+            least = {}
+            for i, x in rows:
+                if i != q:
+                    d = np.sqrt(((np.float32(x).astype(float) - np.float32(v).astype(float)) ** 2).sum())
+                    least[i] = min(d, least.get(i, d))
+            want[q] = [i for _, i in sorted((d, i) for i, d in least.items())[:10]]
+    got = {}
+    for r in sorted(H.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("id") < 40).collect()):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == want
