@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusengine.functions import text as t
 from corpusengine.operators import ann, chunking, dedup, hybrid, inference, knn, lexical, memory, prompts, structure, trace
-from corpusengine.operators.sequences import with_dense_id
+from corpusengine.operators.sequences import with_dense_id, with_sequence
 from corpusengine.plans.inputs import (
     LENIENT_SIZES,
     STRICT_SIZES,
@@ -669,3 +669,20 @@ def expansion_guard(spark, sf):
         .withColumn("query", F.get("candidates", F.lit(0)))
     )
     return inference.guard_expansions(asked, near=False).select("query_id", joined("expansions").alias("expansions"))
+
+
+@query
+def expansion_guard_turns(spark, sf):
+    """Every user message as a query, with the user messages after it as candidates; near duplicates go too."""
+    users = table(spark, sf, "conversations").where("role = 'user'")
+    numbered = materialize(with_sequence(users, ["conv_id"], ["turn"], "n"), "user-messages")
+    # A message goes to its own query and to those of the two before it, the limit of the guard.
+    texts = numbered.select(
+        "conv_id", F.posexplode(F.array(F.col("n"), F.col("n") - 1, F.col("n") - 2)).alias("no", "n"), "text"
+    ).where("n > 0")
+    asked = (
+        texts.groupBy("conv_id", "n")
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("no", "text"))), lambda x: x["text"]).alias("texts"))
+        .select(F.concat_ws(":", "conv_id", "n").alias("query_id"), F.get("texts", F.lit(0)).alias("query"), F.slice("texts", 2, 2).alias("candidates"))
+    )
+    return inference.guard_expansions(materialize(asked, "expansion-queries")).select("query_id", joined("expansions").alias("expansions"))

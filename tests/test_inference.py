@@ -1,7 +1,11 @@
+import random
+
 import pytest
 
 from corpusengine.operators import inference
+from corpusengine.plans import catalog
 from tests.conftest import rows
+from tests.test_dedup import greedy, signature, texts
 
 
 def frame(spark, texts):
@@ -96,6 +100,24 @@ def test_expansion_guard(spark):
     assert len(exact_only[1]) == 2 and len(exact_only[5]) == 2
 
 
+def test_every_user_message_meets_the_guard(spark, tmp_path):
+    rng = random.Random(5)
+    pool = texts()
+    talks = [[rng.choice(pool[i::20]) for _ in range(1 + i % 9)] for i in range(20)]
+    data = [(c, 2 * i + k, role, text) for c, talk in enumerate(talks) for i, text in enumerate(talk) for k, role in enumerate(("user", "assistant"))]
+    df = spark.createDataFrame(data, "conv_id BIGINT, turn BIGINT, role STRING, text STRING")
+    df.write.parquet(str(tmp_path / "conversations.parquet"))
+    want = {}
+    for c, talk in enumerate(talks):
+        for i, text in enumerate(talk):
+            three = talk[i : i + 3]
+            kept = [three[k] for k in greedy([signature(x) for x in three])[0] if k > 0]
+            want[f"{c}:{i + 1}"] = "|".join(kept or [text])
+    got = dict(rows(catalog.expansion_guard_turns(spark, str(tmp_path)), "query_id", "expansions"))
+    assert got == want and len(got) == sum(map(len, talks))
+    assert any("|" not in v for k, v in want.items() if int(k.split(":")[1]) < len(talks[int(k.split(":")[0])]) - 1)
+
+
 @pytest.mark.parametrize("batch_size", [1, 3, 256])
 def test_one_failing_text_nulls_itself_only(spark, batch_size):
     def picky(texts):
