@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusengine.llm import hilbert_ann, lattice_score, license_spans, line_dedup, line_quality, mixing, order_minhash, piece_codec, token_counts, unit_dedup
+from corpusengine.llm import exact_dedup, hilbert_ann, lattice_score, license_spans, line_dedup, line_quality, mixing, order_minhash, piece_codec, token_counts, unit_dedup
 from corpusengine.llm.common import ROW
 from corpusengine.plans.inputs import table
 
@@ -117,3 +117,15 @@ def op9_order_minhash(spark, sf):
 @query
 def op10_temperature_mix(spark, sf):
     return mixing.drawn(table(spark, sf, "documents")).drop(ROW)
+
+
+@query
+def op12_exact_dedup(spark, sf):
+    return exact_dedup.report(table(spark, sf, "documents"))
+
+
+ORACLES["op12_exact_dedup"] = f"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), {LOWER}) AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+FROM d"""
