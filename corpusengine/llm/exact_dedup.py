@@ -47,7 +47,7 @@ def frequent_candidates(rows: DataFrame, tracked: int = TRACKED) -> DataFrame:
         .agg(F.expr(f"approx_top_k_accumulate(short, {tracked})").alias("summary"))
     )
     # Grouped by a constant: an empty table has no summary to merge.
-    merged = summaries.groupBy(F.lit(0)).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(summary, {tracked}), {tracked})").alias("top"))
+    merged = summaries.withColumn("all", F.lit(0)).groupBy("all").agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(summary, {tracked}), {tracked})").alias("top"))
     return merged.select(F.explode("top.item").alias("short"))
 
 
