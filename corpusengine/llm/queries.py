@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusengine.llm import exact_dedup, hilbert_ann, lattice_score, license_spans, line_dedup, line_quality, mixing, order_minhash, piece_codec, token_counts, unit_dedup
+from corpusengine.llm import exact_dedup, hilbert_ann, lattice_score, license_spans, line_dedup, line_quality, mixing, order_minhash, phrases, piece_codec, token_counts, unit_dedup
 from corpusengine.llm.common import ROW
 from corpusengine.plans.inputs import table
 
@@ -129,3 +129,37 @@ WITH d AS (SELECT doc_id, translate(coalesce(text, ''), {LOWER}) AS t FROM docum
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
   doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM d"""
+
+
+@query
+def op13_phrases(spark, sf):
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
+ORACLES["op13_phrases"] = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), {LOWER}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+grams AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k) WHERE len(ws) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS n FROM grams GROUP BY ALL),
+total AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+cut AS (
+  SELECT lang, k AS size, phrase, n AS a, at_word, array_to_string(string_split(phrase, ' ')[:at_word], ' ') AS part,
+    array_to_string(string_split(phrase, ' ')[at_word + 1:], ' ') AS rest
+  FROM f, (SELECT unnest([1, 2]) AS at_word) WHERE k > 1 AND at_word < k AND n >= {phrases.LEAST}),
+scored AS (
+  SELECT c.*, p.n AS l, q.n AS r, ({phrases.SCALE}::HUGEINT * a * a) // (p.n::HUGEINT * q.n) AS score
+  FROM cut c JOIN f p ON p.lang = c.lang AND p.phrase = c.part JOIN f q ON q.lang = c.lang AND q.phrase = c.rest),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, at_word) = 1),
+holders AS (
+  SELECT lang, part AS phrase, a FROM cut WHERE size = 3 AND at_word = 2
+  UNION ALL SELECT lang, rest, a FROM cut WHERE size = 3 AND at_word = 1),
+held AS (SELECT lang, phrase, max(a) AS longer FROM holders GROUP BY ALL),
+kept AS (
+  SELECT o.* FROM lowest o LEFT JOIN held h ON h.lang = o.lang AND h.phrase = o.phrase
+  WHERE h.longer IS NULL OR 100 * h.longer < {phrases.OVERLAP_PERCENT} * o.a)
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, t.n AS n, score::BIGINT AS score
+FROM kept k JOIN total t ON t.lang = k.lang QUALIFY rank <= {phrases.TOP}"""
