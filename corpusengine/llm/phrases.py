@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusengine.llm.common import col, text_of
-from corpusengine.session import materialize, small_side
+from corpusengine.session import materialize
 
 TOP = 2000
 LEAST = 10
@@ -49,7 +49,7 @@ FIRST, WIDER = 8, 4
 #: Bits of a map for every key, and at most.
 BITS_PER_KEY, PROBES, MOST_BITS = 12, 4, 1 << 28
 #: Bytes of a text that are split at a time; words, and packed phrases, that a task holds before it sends its counts on.
-BLOCK, WORDS, PHRASES = 1 << 20, 1 << 19, 1 << 21
+BLOCK, WORDS, PHRASES = 1 << 20, 1 << 19, 1 << 20
 #: Bits of a word's number within a task, so that three fit into 64.
 ID_BITS = 21
 
@@ -89,10 +89,12 @@ class BitMap:
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
         low, high = keys & np.uint64(0xFFFFFFFF), (keys >> np.uint64(32)) | np.uint64(1)
-        found = np.ones(len(keys), bool)
+        left = np.arange(len(keys))
         for i in range(PROBES):
-            p = (low + np.uint64(i) * high) & np.uint64(self.mask)
-            found &= (self.words[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) != 0
+            p = (low[left] + np.uint64(i) * high[left]) & np.uint64(self.mask)
+            left = left[(self.words[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) != 0]
+        found = np.zeros(len(keys), bool)
+        found[left] = True
         return found
 
 
@@ -219,8 +221,8 @@ def _counting(size: int, known: BitMap, wanted: Callable[[np.ndarray], np.ndarra
             for lang, (vocabulary, packed) in seen.items():
                 packed.merge()
                 words = pa.array(vocabulary.words, pa.string())
-                for at in range(0, len(packed.codes), PHRASES // 4):
-                    codes = packed.codes[at : at + PHRASES // 4]
+                for at in range(0, len(packed.codes), PHRASES // 2):
+                    codes = packed.codes[at : at + PHRASES // 2]
                     parts = [words.take(pa.array((codes >> (ID_BITS * (size - 1 - i))) & ((1 << ID_BITS) - 1))) for i in range(size)]
                     yield _batch(lang, pc.binary_join_element_wise(*parts, " "), pa.array(packed.n[at : at + len(codes)]))
             seen.clear()
@@ -249,7 +251,7 @@ def _counting(size: int, known: BitMap, wanted: Callable[[np.ndarray], np.ndarra
                 for i in range(size):
                     code = (code << ID_BITS) | numbers[at + i]
                 packed.add(code)
-            if sum(len(v) for v, _ in seen.values()) > WORDS or sum(p.size + len(p.codes) for _, p in seen.values()) > 2 * PHRASES:
+            if sum(len(v) for v, _ in seen.values()) > WORDS or sum(p.size + len(p.codes) for _, p in seen.values()) > 3 * PHRASES:
                 yield from flush()
         yield from flush()
 
@@ -284,7 +286,6 @@ def _word(n: int) -> Column:
 
 def scored_pairs(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """`(lang, phrase, a, l, r, score, bound)`; `bound` is the most that a phrase grown from the pair may score."""
-    words = small_side(words)
     first = words.select("lang", F.col("phrase").alias("x"), F.col("n").alias("l"))
     second = words.select("lang", F.col("phrase").alias("y"), F.col("n").alias("r"))
     joined = (
@@ -393,8 +394,9 @@ def collocations(
 
         def wanted(x: np.ndarray, y: np.ndarray, z: np.ndarray, heads=heads, tails=tails) -> np.ndarray:
             head, tail = pair_hashes(x, y), pair_hashes(y, z)
-            held = frequent.value.holds
-            return held(head) & held(tail) & (heads.value.holds(head) | tails.value.holds(tail))
+            picked = heads.value.holds(head) | tails.value.holds(tail)
+            picked[picked] = frequent.value.holds(head[picked]) & frequent.value.holds(tail[picked])
+            return picked
 
         found = _counted(texts, lambda rows, wanted=wanted: _counting(3, known.value, wanted)(rows))
         found = scored_triples(materialize(found.where(F.col("n") >= least), "triple-counts"), pairs)
