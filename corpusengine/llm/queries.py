@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusengine.llm import exact_dedup, hilbert_ann, lattice_score, license_spans, line_dedup, line_quality, mixing, order_minhash, phrases, piece_codec, token_counts, unit_dedup
+from corpusengine.llm import exact_dedup, hard_negatives, hilbert_ann, lattice_score, license_spans, line_dedup, line_quality, mixing, order_minhash, phrases, piece_codec, token_counts, unit_dedup
 from corpusengine.llm.common import ROW
 from corpusengine.plans.inputs import table
 
@@ -119,6 +119,32 @@ def op10_temperature_mix(spark, sf):
     return mixing.drawn(table(spark, sf, "documents")).drop(ROW)
 
 
+@query
+def op11_lemp_negatives(spark, sf):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+ORACLES["op11_lemp_negatives"] = f"""
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor({hard_negatives.SCALE} * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {hard_negatives.POSITIVES})
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same
+  AND {hard_negatives.LEAST_PERCENT} * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= {hard_negatives.NEGATIVES}"""
+
+
 @query
 def op12_exact_dedup(spark, sf):
     return exact_dedup.report(table(spark, sf, "documents"))
