@@ -7,10 +7,11 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusengine.operators.knn import knn
+from corpusengine.operators.knn import DECIMALS, knn
 from corpusengine.session import materialize
 
 
@@ -55,6 +56,86 @@ def ivf_search(queries: DataFrame, index: DataFrame, centres: DataFrame, k: int
     return knn(materialize(probing, "probes"), index, k, within=("cells", "cell"), **columns)
 
 
+def ivf_index(vectors: DataFrame, centres: DataFrame, vec: str = "embedding") -> DataFrame:
+    """Adds `cell`, the nearest centre, and `to_centre`, the distance to it.
+
+    Vectors of another length than the centres', or with a null among them, cannot be placed and are left out.
+    """
+    rows = centres.orderBy("cell").collect()
+    cells = np.array([r["cell"] for r in rows], dtype=np.int64)
+    matrix = np.array([r["embedding"] for r in rows], dtype=np.float64)
+    half = (matrix * matrix).sum(1) / 2.0
+
+    @F.pandas_udf("cell bigint, to_centre double")
+    def nearest(batch: pd.Series) -> pd.DataFrame:
+        points = np.stack(batch.to_numpy()).astype(np.float64)
+        at = np.argmin(half[None, :] - points @ matrix.T, axis=1)
+        # By differences: the expanded square would lose the digits that the bounds need.
+        return pd.DataFrame({"cell": cells[at], "to_centre": np.sqrt(((points - matrix[at]) ** 2).sum(1))})
+
+    fits = F.col(vec).isNotNull() & (F.size(vec) == matrix.shape[1]) & ~F.exists(vec, lambda x: x.isNull())
+    return vectors.where(fits).withColumn("_ivf", nearest(F.col(vec))).select(*vectors.columns, "_ivf.cell", "_ivf.to_centre")
+
+
+def ivf_cells(index: DataFrame, centres: DataFrame) -> DataFrame:
+    """`(cell, embedding, n, radius)` of the cells that hold vectors; written, it serves any number of searches."""
+    sizes = index.groupBy("cell").agg(F.count("*").alias("n"), F.max("to_centre").alias("radius"))
+    return materialize(sizes.join(centres, "cell").select("cell", "embedding", "n", "radius"), "ivf-cells")
+
+
+def ivf_exact_search(
+    queries: DataFrame, index: DataFrame, cells: DataFrame, k: int = 5, nprobe: int = 1, **columns
+) -> DataFrame:
+    """The exact `k` nearest vectors by squared distance, reading only the cells that can hold them.
+
+    Two rounds: a query first reads its nearest cells, `nprobe` of them or as many as it takes to hold `k`
+    vectors.  A vector of a cell is no nearer than the distance to the centre less the cell's radius,
+    so the second round reads the other cells where that is not beyond the k-th hit.
+    """
+    qid, qvec = columns.get("query_id", "query_id"), columns.get("query_vec", "embedding")
+    rows = cells.orderBy("cell").collect()  # one row per cell, as many as the index was trained with
+    if not rows:
+        return knn(queries, index, k, **columns)
+    names = np.array([r["cell"] for r in rows], dtype=np.int64)
+    matrix = np.array([r["embedding"] for r in rows], dtype=np.float64)
+    sizes = np.array([r["n"] for r in rows], dtype=np.int64)
+    radii = np.array([r["radius"] for r in rows], dtype=np.float64)
+
+    def away(point) -> np.ndarray:
+        return np.sqrt(((matrix - np.asarray(point, np.float64)) ** 2).sum(1))
+
+    @F.pandas_udf("array<bigint>")
+    def nearest_cells(points: pd.Series) -> pd.Series:
+        def pick(point):
+            order = np.argsort(away(point), kind="stable")
+            enough = int(np.searchsorted(np.cumsum(sizes[order]), k)) + 1
+            return names[order[: max(nprobe, enough)]]
+
+        return points.map(pick)
+
+    @F.pandas_udf("array<bigint>")
+    def cells_in_reach(points: pd.Series, reach: pd.Series, done: pd.Series) -> pd.Series:
+        def pick(point, square, before):
+            # Scores are compared at DECIMALS decimals, so what rounds to the k-th score still counts.
+            limit = np.inf if np.isnan(square) else np.sqrt(square + 10.0**-DECIMALS) * (1 + 1e-9)
+            near = away(point) - radii * (1 + 1e-9) <= limit
+            return names[near & ~np.isin(names, before)]
+
+        return pd.Series([pick(*x) for x in zip(points, reach, done, strict=True)])
+
+    asked = queries.where(F.col(qvec).isNotNull() & (F.size(qvec) == matrix.shape[1]))
+    asked = materialize(asked.withColumn("_cells", nearest_cells(F.col(qvec))), "first-probes")
+    near = materialize(knn(asked, index, k, within=("_cells", "cell"), **columns), "first-hits")
+    reach = near.groupBy(F.col("query_id").alias("_q")).agg(F.when(F.count("*") >= k, F.max("score")).alias("_reach"))
+    later = asked.join(reach, F.col(qid).cast("bigint") == F.col("_q"), "left").withColumn(
+        "_cells", cells_in_reach(F.col(qvec), F.col("_reach"), F.col("_cells"))
+    )
+    later = materialize(later.drop("_q", "_reach").where(F.size("_cells") > 0), "second-probes")
+    found = near.unionByName(knn(later, index, k, within=("_cells", "cell"), **columns)).drop("rank")
+    best = W.partitionBy("query_id").orderBy("score", "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def _query_side(columns: dict) -> dict:
     return {c: v for c, v in columns.items() if c in ("query_id", "query_vec", "broadcast_bytes")}
 

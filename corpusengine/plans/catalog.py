@@ -33,7 +33,7 @@ from corpusengine.plans.inputs import (
 )
 from corpusengine.session import materialize, shared_dir, spread
 from corpusengine.sources import chunks as chunk_table
-from corpusengine.sources import corpus, index, topics, turns
+from corpusengine.sources import corpus, index, topics, turns, versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -116,6 +116,24 @@ def chunk_upsert(spark, sf):
     return chunk_table.upsert(target, source)
 
 
+@query
+def upsert_versions(spark, sf):
+    """Documents as a versioned table; two increments, the second of rows with labels; then the last version."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("created_at"))
+    folder = f"{shared_dir(spark)}/corpusengine/versions-{uuid.uuid4().hex}"
+    versions.create(docs.where("id % 3 <> 0"), folder, "id", width=1000)
+    late = docs.where("id % 3 = 0").withColumn("created_at", F.lit("late"))
+    versions.upsert(spark, folder, late, batch="late documents", keep=("created_at",))
+    labels = table(spark, sf, "labels").where("quality = 1")
+    text = F.concat(F.lit("toxic "), F.col("toxic").cast("string"))
+    changed = labels.select(F.col("doc_id").alias("id"), text.alias("text"))
+    added = labels.select((-F.col("doc_id") - 1).alias("id"), text.alias("text"))
+    source = changed.unionByName(added).withColumn("created_at", F.lit("now"))
+    for _ in range(2):  # the second one is a replay and changes nothing
+        versions.upsert(spark, folder, source, batch="labels", keep=("created_at",))
+    return versions.read(spark, folder)
+
+
 @query
 def turn_append(spark, sf):
     pairs = turns.interactions(table(spark, sf, "conversations"))
@@ -584,6 +602,14 @@ def ivf_search(spark, sf):
     return _hits(ann.ivf_search(vector_queries(spark, sf), cells, centres, nprobe=4))
 
 
+@query
+def ivf_exact(spark, sf):
+    vectors = labelled_vectors(spark, sf)
+    centres = ann.ivf_train(vectors, 16)
+    index = materialize(ann.ivf_index(vectors, centres), "ivf-index")
+    return _hits(ann.ivf_exact_search(vector_queries(spark, sf), index, ann.ivf_cells(index, centres)))
+
+
 @query
 def ann_lsh(spark, sf):
     cells = ann.lsh_codes(labelled_vectors(spark, sf), 64, 4)

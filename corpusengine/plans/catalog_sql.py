@@ -315,6 +315,11 @@ ORACLES: dict[str, str] = {
 SELECT d.doc_id AS id, coalesce('quality ' || l.quality, d.text) AS text, d.lang AS created_at
 FROM documents d LEFT JOIN labels l USING (doc_id)
 UNION ALL SELECT -doc_id - 1, 'quality ' || quality, 'now' FROM labels""",
+    "upsert_versions": """
+WITH l AS (SELECT doc_id, 'toxic ' || toxic AS text FROM labels WHERE quality = 1)
+SELECT d.doc_id AS id, coalesce(l.text, d.text) AS text, CASE WHEN d.doc_id % 3 = 0 THEN 'late' ELSE d.lang END AS created_at
+FROM documents d LEFT JOIN l USING (doc_id)
+UNION ALL SELECT -doc_id - 1, text, 'now' FROM l""",
     "turn_append": _with(TURNS, f"SELECT conversation_id, turn, query, coalesce(answer, '{ERROR_ANSWER}') AS answer FROM pairs"),
     "normalize_text": f"SELECT doc_id, {normalize('text')} AS text FROM documents WHERE text <> ''",
     "normalize_section": _with(
@@ -413,6 +418,7 @@ sents AS (SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS
 SELECT doc_id, 0::BIGINT AS n_oversize, 0::BIGINT AS n_unstripped, true AS numbered, true AS starts_right, true AS ends_right, true AS covers
 FROM documents WHERE {strip('text')} <> ''""",
     "knn_l2": _with(L2, "SELECT query_id, vec_id, d AS score, rank FROM l2"),
+    "ivf_exact": _with(L2, "SELECT query_id, vec_id, d AS score, rank FROM l2"),
     "knn_cosine": _with(
         VECTORS,
         """SELECT * FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
