@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusengine.session import materialize, small_side
+from corpusengine.session import materialize
 
 _ROW_BITS = (1 << 33) - 1  # monotonically_increasing_id keeps the row number in the low 33 bits
 
@@ -47,9 +47,10 @@ def with_dense_id(
 def with_sequence(df: DataFrame, keys: list[str], order: list[str], name: str = "seq") -> DataFrame:
     """Number the rows of every key 1..n in `order`; a hot key spans many tasks."""
     numbered = with_dense_id(df, [*keys, *order], "_dense")
-    firsts = materialize(numbered.groupBy(*keys).agg(F.min("_dense").alias("_first")), "first-ids")
+    # One row per key, broadcast by adaptive execution if it turns out to be small.
+    firsts = numbered.groupBy(*keys).agg(F.min("_dense").alias("_first"))
     return (
-        numbered.join(small_side(firsts), keys)
+        numbered.join(firsts, keys)
         .withColumn(name, F.col("_dense") - F.col("_first") + 1)
         .drop("_dense", "_first")
     )

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusengine.functions import text as t
-from corpusengine.operators import ann, chunking, dedup, hybrid, inference, knn, lexical, memory, prompts, structure, trace
+from corpusengine.operators import ann, chunking, dedup, hybrid, inference, knn, lexical, memory, postings, prompts, structure, trace
 from corpusengine.operators.sequences import with_dense_id, with_sequence
 from corpusengine.plans.inputs import (
     LENIENT_SIZES,
@@ -580,6 +580,16 @@ def bm25_search(spark, sf):
     return lexical.bm25(queries, chunks).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query
+def bm25_postings(spark, sf):
+    """The same search over stored inverted lists, which skips blocks that cannot reach the k-th score."""
+    queries, chunks = _hybrid_inputs(spark, sf)
+    folder = f"{shared_dir(spark)}/corpusengine/postings-{uuid.uuid4().hex}"
+    postings.save(chunks, folder)
+    lists, stats = postings.load(spark, folder)
+    return postings.bm25(queries, lists, stats).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @query
 def hybrid_search(spark, sf):
     queries, chunks = _hybrid_inputs(spark, sf)

@@ -464,6 +464,7 @@ best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r) AS nth F
         "SELECT query_id, string_agg(section, '|' ORDER BY r) AS sections FROM best WHERE nth <= 2 GROUP BY 1",
     ),
     "bm25_search": _with(BM25, "SELECT query_id, chunk_id, score, rank FROM bm25"),
+    "bm25_postings": _with(BM25, "SELECT query_id, chunk_id, score, rank FROM bm25"),
     "hybrid_search": _with(
         HYBRID,
         """SELECT query_id, chunk_id, retrieval_source, score,

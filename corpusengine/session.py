@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,6 +13,8 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 # Up to this size, as text, a side travels to the executors; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
+# A side that is only read, filtered and reduced is known to be small from the size of its files.
+SCANNED_BYTES = 2 << 20
 # Up to so many keys reach a scan as a filter; beyond it a semi-join selects the rows.
 PUSHED_KEYS = 1000
 
@@ -76,13 +79,26 @@ def spread(df: DataFrame) -> DataFrame:
 def small_side(df: DataFrame, limit_rows: int = BROADCAST_ROWS, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """`df` marked for broadcast if it is measured to be small, else left to a shuffle join.
 
-    The measurement stops at the row limit, so it stays cheap for large inputs.
+    The measurement stops at the row limit, so it stays cheap for large inputs; what comes from
+    small files without joins or generators needs none.
     """
+    scanned = _scanned_bytes(df)
+    if scanned is not None and scanned <= min(SCANNED_BYTES, limit_bytes) and limit_rows >= BROADCAST_ROWS:
+        return F.broadcast(df)
     width = F.octet_length(F.to_json(F.struct(*df.columns)))
     size = df.limit(limit_rows + 1).agg(F.count("*").alias("n"), F.sum(width).alias("bytes")).first()
     return F.broadcast(df) if size["n"] <= limit_rows and (size["bytes"] or 0) <= limit_bytes else df
 
 
+def _scanned_bytes(df: DataFrame) -> int | None:
+    """Bytes that `df` reads, by the optimizer's estimate; None where it may make more of them or they are not known."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    nodes = re.findall(r"^[\s:+\-]*'?(\w+)", plan.toString(), re.MULTILINE)
+    if not set(nodes) <= {"Project", "Filter", "Aggregate", "Relation", "LocalRelation", "Distinct"}:
+        return None
+    return int(str(plan.stats().sizeInBytes()))
+
+
 def among(df: DataFrame, key: str, asked: DataFrame) -> DataFrame:
     """Rows of `df` whose `key` is in the one column of `asked`, which holds distinct values.
 
