@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusengine.functions.text import words
+from corpusengine.functions.text import normalize_section, words
+from corpusengine.operators import inference
 from corpusengine.operators.knn import knn
 from corpusengine.operators.lexical import bm25, query_sections
 from corpusengine.operators.sequences import with_dense_id
@@ -81,6 +85,68 @@ def route(
     )
 
 
+def route_named(
+    queries: DataFrame,
+    named: DataFrame,
+    sections: DataFrame,
+    embedder: Callable[[list], list] | None = None,
+    threshold: float = 0.55,
+    per_name: int = 2,
+    keep: int = 2,
+) -> DataFrame:
+    """`(query_id, sections)`: the known sections that a model's free names stand for.
+
+    `queries`: query_id, query; `named`: query_id, names, the model's answer; `sections`: section.  Names are
+    normalised; one that is a section stands first, followed or else replaced by the `per_name` sections
+    most similar to it from `threshold` on; one that is similar to none stands for the first sections of the alphabet.
+    The first `keep` different ones in order of mention stay.  A query without an answer is matched by its own text.
+
+    Every different name is embedded and matched once, however many queries mention it.
+    """
+    known = sections.select(normalize_section(F.col("section")).alias("section")).distinct()
+    known = materialize(inference.embed(known, "section", embedder).drop("error"), "known-sections")
+    numbered = materialize(with_dense_id(known, ["section"], "section_no"), "sections")
+    first = [r[0] for r in numbered.orderBy("section_no").limit(per_name).select("section").collect()] or ["default"]
+
+    answered = queries.select("query_id", "query").join(named.select("query_id", "names"), "query_id", "left")
+    own = F.coalesce(F.size("names"), F.lit(0)) <= 0
+    mentions = answered.select(
+        "query_id",
+        F.posexplode(
+            F.when(own, F.array(F.coalesce("query", F.lit("")))).otherwise(F.transform("names", normalize_section))
+        ).alias("pos", "name"),
+    )
+    mentions = materialize(mentions, "section-mentions")
+    names = with_dense_id(mentions.select("name").distinct(), ["name"], "query_id", costly=True)
+    names = materialize(inference.embed(names, "name", embedder).drop("error"), "section-names")
+    near = knn(names, numbered, per_name, "cosine", vec_id="section_no").where(F.col("score") >= threshold)
+    listed = (
+        near.join(small_side(numbered.select("section", "section_no")), F.col("vec_id") == F.col("section_no"))
+        .groupBy("query_id")
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "section"))), lambda x: x["section"]).alias("similar"))
+    )
+    exact = numbered.select(F.col("section").alias("name"), F.lit(True).alias("exact"))
+    default = F.array(*[F.lit(s) for s in first])
+    matches = (
+        names.select("query_id", "name")
+        .join(listed, "query_id", "left")
+        .join(small_side(exact), "name", "left")
+        .select(
+            "name",
+            F.when(F.col("exact"), F.array_distinct(F.concat(F.array("name"), F.coalesce("similar", F.array().cast("array<string>")))))
+            .otherwise(F.coalesce("similar", default))
+            .alias("matches"),
+        )
+    )
+    # A name that many queries mention is a row of each of them; the few matches per name come to them.
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("pos", "matches"))), lambda x: x["matches"])
+    return (
+        mentions.join(small_side(materialize(matches, "name-matches")), "name")
+        .groupBy("query_id")
+        .agg(section_preference(F.flatten(ordered), keep).alias("sections"))
+    )
+
+
 def section_preference(proposed: Column, keep: int = 2) -> Column:
     """First `keep` distinct names in order of mention."""
     return F.slice(F.array_distinct(proposed), 1, keep)
@@ -180,6 +246,68 @@ def rerank(
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
 
 
+def score_pairs(
+    pairs: DataFrame,
+    load_model: Callable[[], Callable[[list[str], list[str]], list[float]]],
+    batch_size: int = 8,
+    out: str = "rerank_score",
+) -> DataFrame:
+    """Adds `out`, the model's score of every (query, text); null where it fails.
+
+    `load_model` runs once per Python worker and returns the model, which scores a batch of queries and texts.  The pairs
+    of a batch that fails are scored one by one, so only those at fault get null.
+    """
+
+    def make():
+        model = load_model()
+
+        def score(queries: list[str], texts: list[str]) -> list[float]:
+            scores = [float(s) for s in model(queries, texts)]
+            if len(scores) != len(texts):
+                raise ValueError(f"{len(scores)} scores for {len(texts)} pairs")
+            return scores
+
+        def predict(queries: np.ndarray, texts: np.ndarray) -> np.ndarray:
+            q, t = [str(x) for x in queries], [str(x) for x in texts]
+            try:
+                return np.array(score(q, t))
+            except Exception:
+                if len(q) == 1:
+                    return np.array([np.nan])
+                return np.concatenate([predict(queries[i : i + 1], texts[i : i + 1]) for i in range(len(q))])
+
+        return predict
+
+    model = predict_batch_udf(make, return_type=T.DoubleType(), batch_size=batch_size)
+    texts = [F.coalesce(F.col(c), F.lit("")) for c in ("query", "text")]
+    return pairs.withColumn(out, F.nanvl(model(*texts), F.lit(None).cast("double")))
+
+
+def rerank_model(
+    pairs: DataFrame,
+    load_model: Callable[[], Callable[[list[str], list[str]], list[float]]],
+    n: int = 5,
+    batch_size: int = 8,
+    decimals: int = 6,
+    text_id: str = "position",
+) -> DataFrame:
+    """Best `n` texts per query by the model's score, ties by `text_id`; `scored` says whether the model ranked them.
+
+    `pairs`: query_id, query, text and `text_id`.  If any pair of a query has no score, the query's first `n` texts in
+    order of `text_id` stay.
+    """
+    scored = materialize(score_pairs(pairs, load_model, batch_size), "pair-scores")
+    scored = scored.withColumn("rerank_score", F.round("rerank_score", decimals))
+    failed = scored.where("rerank_score IS NULL").select("query_id").distinct().withColumn("_failed", F.lit(True))
+    marked = scored.join(small_side(failed), "query_id", "left").withColumn("scored", F.col("_failed").isNull()).drop("_failed")
+    best = W.partitionBy("query_id").orderBy(F.when(F.col("scored"), -F.col("rerank_score")), text_id)
+    return (
+        marked.withColumn("rank", F.row_number().over(best))
+        .where(F.col("rank") <= n)
+        .withColumn("rerank_score", F.when(F.col("scored"), F.col("rerank_score")))
+    )
+
+
 def merged_queries(queries: DataFrame, by: str = "request_id", sep: str = " ") -> DataFrame:
     """The query variants of every request joined into one text, in id order."""
     return queries.groupBy(by).agg(

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -118,6 +120,122 @@ def apply_model(
     )
 
 
+class Breaker:
+    """Stops calling a model after `limit` failed calls in a row; a call that succeeds starts the count anew."""
+
+    def __init__(self, limit: int):
+        self.limit, self.failures = limit, 0
+
+    @property
+    def open(self) -> bool:
+        return self.failures >= self.limit
+
+    def report(self, error: str | None) -> None:
+        self.failures = 0 if error is None else self.failures + 1
+
+
+def _accepted(
+    model_fn: ModelFn, inputs: list, accept: Callable[[object], str | None], batch_size: int, retries: int,
+    backoff: float, timeout: float | None, breaker: Breaker,
+) -> list[tuple[object, str | None, int]]:
+    """Answer, reason of the last refusal and number of attempts of every input."""
+    out: list = [(None, "not asked", 0)] * len(inputs)
+    open_rows, alone = list(range(len(inputs))), set()
+    for attempt in range(1, retries + 2):
+        if attempt > 1:
+            time.sleep(backoff ** (attempt - 1))
+        together = [i for i in open_rows if i not in alone]
+        groups = [together[at : at + batch_size] for at in range(0, len(together), batch_size)]
+        groups += [[i] for i in open_rows if i in alone]
+        open_rows = []
+        for group in groups:
+            if breaker.open:
+                for i in group:
+                    out[i] = (None, f"model given up after {breaker.limit} failed calls", out[i][2])
+                continue
+            answers, error = _call(model_fn, [inputs[i] for i in group], 0, backoff, timeout)
+            breaker.report(error)
+            for i, answer in zip(group, answers, strict=True):
+                reason = error or accept(answer)
+                out[i] = (None if reason else answer, reason, out[i][2] + 1)
+                if reason:
+                    open_rows.append(i)
+            if error:
+                alone.update(group)  # asked one by one from now on, so that one bad input spoils no other
+        if not open_rows or breaker.open:
+            break
+    return out
+
+
+def apply_accepted(
+    df: DataFrame,
+    col: str,
+    model_fn: ModelFn,
+    accept: Callable[[object], str | None],
+    out: str = "answer",
+    returns: T.DataType = T.StringType(),
+    batch_size: int = 8,
+    retries: int = 2,
+    backoff: float = 2.0,
+    timeout: float | None = None,
+    give_up: int = 5,
+) -> DataFrame:
+    """Adds `out`, `error` and `attempts`: answers that `accept` does not refuse, asked for again while it does.
+
+    `accept` gets an answer and returns the reason why it cannot be used, or None.  Only refused
+    inputs are asked again, after `backoff ** attempt` seconds, at most `retries` times; those of a call that
+    failed as a whole are then asked one by one.  After `give_up` failed calls in a row a task stops asking, so
+    a model that is down costs `give_up` calls and not some for every input.  Null inputs are passed over.
+    """
+    result = T.StructType(
+        [T.StructField("value", returns), T.StructField("error", T.StringType()), T.StructField("attempts", T.IntegerType())]
+    )
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        breaker = Breaker(give_up)
+        for texts in batches:
+            rows = [i for i, t in enumerate(texts) if t is not None]
+            found = _accepted(model_fn, [texts.iloc[i] for i in rows], accept, batch_size, retries, backoff, timeout, breaker)
+            table: list = [(None, None, 0)] * len(texts)
+            for i, answer in zip(rows, found, strict=True):
+                table[i] = answer
+            value, error, attempts = (pd.Series([t[c] for t in table], dtype=object) for c in range(3))
+            yield pd.DataFrame({"value": value, "error": error, "attempts": attempts.astype("int32")})
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    called = F.pandas_udf(run, result)
+    return df.withColumn("_m", called(F.col(col))).select(
+        *[c for c in df.columns if c not in (out, "error", "attempts")],
+        F.col("_m.value").alias(out),
+        F.col("_m.error").alias("error"),
+        F.col("_m.attempts").alias("attempts"),
+    )
+
+
+def refuse_no_json_map(answer: object) -> str | None:
+    """Why an answer is no JSON object with an entry, code fences aside."""
+    text = str(answer or "").strip()
+    fenced = re.match(r"(?s)^```(?:json)?(.*?)(?:```|$)", text)
+    try:
+        found = json.loads(fenced.group(1) if fenced else text)
+    except ValueError:
+        return "no JSON"
+    if not isinstance(found, dict) or not found:
+        return "no JSON object with an entry"
+    return None
+
+
+def refuse_no_list(answer: object) -> str | None:
+    """Why an answer holds no JSON array of strings."""
+    text = str(answer or "")
+    start, end = text.find("["), text.rfind("]") + 1
+    try:
+        found = json.loads(text[start:end]) if start >= 0 else None
+    except ValueError:
+        return "no JSON array"
+    return None if isinstance(found, list) and found and all(isinstance(x, str) for x in found) else "no JSON array of strings"
+
+
 def prefix_for(model_name: str, kind: str) -> str:
     """Nomic models want `search_document: ` or `search_query: ` before the text."""
     return f"search_{kind}: " if "nomic" in model_name.lower() else ""

@@ -55,8 +55,13 @@ def topics_from_spans(
 
 
 def keyword_answers(requests: DataFrame, model: inference.ModelFn, **options) -> DataFrame:
-    """`(topic_key, batch_no, keywords)` from the model's answers to keyword payloads."""
-    answered = inference.apply_model(requests, "payload", model, "raw", batch_size=1, **options)
+    """`(topic_key, batch_no, keywords)` from the model's answers to keyword payloads.
+
+    An empty answer, or one that is no JSON object, is refused and the payload asked again.
+    """
+    answered = inference.apply_accepted(
+        requests, "payload", model, inference.refuse_no_json_map, "raw", batch_size=1, **options
+    )
     return answered.where("raw IS NOT NULL").select(
         "batch_no", F.explode(parse_json_map(F.col("raw"))).alias("topic_key", "keywords")
     )

@@ -6,6 +6,7 @@ by value with the SQL in `catalog_sql`.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -642,6 +643,42 @@ def route_threshold(spark, sf):
     return _label_routes(spark, sf, k=2, threshold=0.55)
 
 
+@query
+def route_named(spark, sf):
+    """Documents as queries, with names for their section as a model might give them: none, exact, similar or unknown."""
+    docs = table(spark, sf, "documents").select("doc_id", F.col("doc_id").alias("query_id"), "source", "lang")
+    own = F.concat_ws(" ", "source", "lang")
+    case = F.col("doc_id") % 4
+    names = (
+        F.when(case == 1, F.array(F.concat(F.upper("source"), F.lit("  ("), "lang", F.lit(")!"))))
+        .when(case == 2, F.array(F.concat(F.lit("the "), "source", F.lit(" pages")), F.concat_ws(" ", "lang", "lang")))
+        .when(case == 3, F.array(F.lit("nothing like it"), own, F.concat_ws(" ", "lang", "source")))
+    )
+    queries = docs.select("query_id", F.concat_ws(" ", "lang", F.lit("of"), "source").alias("query"))
+    routed = hybrid.route_named(queries, docs.select("query_id", names.alias("names")), docs.select(own.alias("section")))
+    return routed.select("query_id", joined("sections").alias("sections"))
+
+
+def _closeness():
+    """A pair model for the check: how close two lengths are; it fails on texts whose length is a multiple of eleven."""
+
+    def score(queries, texts):
+        if any(len(t) % 11 == 0 for t in texts):
+            raise ValueError("no score")
+        return [-abs(len(q) - len(t)) / (len(q) + len(t) + 1) for q, t in zip(queries, texts, strict=True)]
+
+    return score
+
+
+@query
+def rerank_model(spark, sf):
+    """Every conversation's messages, ranked by a pair model against its first message."""
+    messages = table(spark, sf, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("position"), "text")
+    firsts = messages.groupBy("query_id").agg(F.min_by("text", "position").alias("query"))
+    best = hybrid.rerank_model(messages.join(firsts, "query_id"), _closeness, 5)
+    return best.select("query_id", "position", (F.col("rerank_score") + 0.0).alias("rerank_score"), F.col("rank").cast("bigint").alias("rank"), "scored")
+
+
 # --- model application -----------------------------------------------------------------------
 
 
@@ -657,6 +694,46 @@ def keyword_requests(spark, sf):
     return inference.keyword_requests(docs, 3, ("doc_id",))
 
 
+def _moody_model():
+    """A keyword model for the check: it fails on some payloads for good and answers others only when asked again."""
+    asked: dict[str, int] = {}
+
+    def answer(payloads):
+        out = []
+        for payload in payloads:
+            topics = [t["topic_id"] for t in json.loads(payload)]
+            numbers = [int(t[1:]) for t in topics]
+            asked[payload] = asked.get(payload, 0) + 1
+            if any(n % 35 == 0 for n in numbers):
+                raise RuntimeError("model down")
+            if any(n % 7 == 0 for n in numbers) and asked[payload] == 1:
+                out.append("" if numbers[0] % 2 else "Sorry, no.")
+            else:
+                out.append("```json\n" + json.dumps({t: [f"{t} a", f"{t} b", "c"] for t in topics}) + "\n```")
+        return out
+
+    return answer
+
+
+@query
+def keyword_answers(spark, sf):
+    """Keywords of every document from a model that often fails, and how often it had to be asked."""
+    docs = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("topic_id"), "text")
+    requests = inference.keyword_requests(docs, 3, ("doc_id",))
+    asked = inference.apply_accepted(
+        requests, "payload", _moody_model(), inference.refuse_no_json_map, "raw", batch_size=1, backoff=0.0, give_up=1_000_000
+    )
+    asked = materialize(asked, "keyword-raw")
+    answers = asked.where("raw IS NOT NULL").select(
+        "batch_no", F.explode(t.parse_json_map(F.col("raw"))).alias("topic_id", "keywords")
+    )
+    enriched = inference.enrich(docs, answers, ["topic_id"])
+    tries = asked.select(
+        "attempts", F.explode(F.from_json("payload", "array<struct<topic_id: string>>")).alias("t")
+    ).select(F.col("t.topic_id").alias("topic_id"), F.col("attempts").cast("bigint").alias("attempts"))
+    return enriched.join(tries, "topic_id").select("doc_id", joined("keywords").alias("keywords"), "keyword_source", "attempts")
+
+
 @query
 def parse_model_output(spark, sf):
     docs = documents(spark, sf)

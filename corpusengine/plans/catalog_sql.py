@@ -489,6 +489,46 @@ good AS (SELECT query_id, string_agg(section, '|' ORDER BY rank) AS s FROM near
         """SELECT vec_id AS query_id, coalesce(s, 'label 0|label 1') AS candidates, coalesce(s, 'label 0|label 1') AS sections
            FROM embeddings LEFT JOIN good ON vec_id = query_id""",
     ),
+    "route_named": _with(
+        f"""
+known AS (SELECT DISTINCT {section_name("source || ' ' || lang")} AS section FROM documents),
+first AS (SELECT list(section ORDER BY section)[:2] AS s FROM known),
+raw AS (SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN [upper(source) || '  (' || lang || ')!']
+          WHEN 2 THEN ['the ' || source || ' pages', lang || ' ' || lang]
+          WHEN 3 THEN ['nothing like it', source || ' ' || lang, lang || ' ' || source] END AS names,
+        lang || ' of ' || source AS query FROM documents),
+mentions AS MATERIALIZED (SELECT doc_id, pos, CASE WHEN own THEN name ELSE {section_name("name")} END AS name FROM (
+  SELECT doc_id, names IS NULL AS own, unnest(coalesce(names, [query])) AS name,
+         generate_subscripts(coalesce(names, [query]), 1) AS pos FROM raw)),
+asks AS (SELECT DISTINCT name FROM mentions),
+{embed("asks", "name", "name", "avec")},
+{embed("known", "section", "section", "svec")},
+{cosine_routes("avec", "name", "svec", 2)},
+alike AS (SELECT query_id AS name, list(section ORDER BY rank) AS s FROM near WHERE score >= 0.55 GROUP BY 1),
+matches AS (SELECT a.name, CASE WHEN k.section IS NOT NULL THEN list_concat([a.name], list_filter(coalesce(m.s, []), lambda x: x <> a.name))
+              ELSE coalesce(m.s, first.s) END AS s
+            FROM asks a CROSS JOIN first LEFT JOIN alike m USING (name) LEFT JOIN known k ON k.section = a.name),
+flat AS (SELECT doc_id, pos, unnest(s) AS section, generate_subscripts(s, 1) AS at_place FROM mentions JOIN matches USING (name)),
+once AS (SELECT doc_id, section, min((pos, at_place)) AS place FROM flat GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS r FROM once)""",
+        "SELECT doc_id AS query_id, string_agg(section, '|' ORDER BY r) AS sections FROM ranked WHERE r <= 2 GROUP BY 1",
+    ),
+    "rerank_model": """
+WITH firsts AS (SELECT conv_id, arg_min(text, turn) AS query FROM conversations GROUP BY 1),
+pairs AS (SELECT conv_id AS query_id, turn AS position, length(query) AS q, length(text) AS t FROM conversations JOIN firsts USING (conv_id)),
+judged AS (SELECT query_id, position, round(-abs(q - t) / (q + t + 1), 6) + 0.0 AS score,
+                  bool_and(t % 11 <> 0) OVER (PARTITION BY query_id) AS scored FROM pairs)
+SELECT query_id, position, CASE WHEN scored THEN score END AS rerank_score,
+       row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN scored THEN -score END, position) AS rank, scored
+FROM judged QUALIFY rank <= 5""",
+    "keyword_answers": _with(
+        f"""{keywords("documents")},
+batches AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 3 AS b FROM documents),
+moods AS (SELECT b, bool_or(doc_id % 35 = 0) AS down, bool_or(doc_id % 7 = 0) AS slow FROM batches GROUP BY 1)""",
+        """SELECT doc_id, CASE WHEN down THEN array_to_string(k, '|') ELSE 'T' || doc_id || ' a|T' || doc_id || ' b|c' END AS keywords,
+       CASE WHEN down THEN 'fallback' ELSE 'model' END AS keyword_source, CASE WHEN down THEN 3 WHEN slow THEN 2 ELSE 1 END::BIGINT AS attempts
+FROM kw JOIN batches USING (doc_id) JOIN moods USING (b)""",
+    ),
     "embed_hashing": _with(
         f"{embed('documents', 'doc_id', 'text', 'cells')}, dvec AS (SELECT doc_id, cell AS pos, x FROM cells)",
         """SELECT doc_id AS chunk_id, pos, round(coalesce(x, 0), 6) AS x FROM (SELECT doc_id, unnest(range(64)) AS pos FROM documents)
