@@ -335,6 +335,26 @@ def trace_rollup(spark, sf):
     return trace.rollup(stage_events(spark, sf)).withColumn("lines", joined("lines"))
 
 
+@query
+def turn_rows(spark, sf):
+    """Complete turns appended in three batches, one of them twice; the first turn of a conversation has a trace."""
+    pairs = numbered_turns(spark, sf).withColumn("user_id", F.col("conversation_id") % 7)
+    first = F.col("sequence_id") == 1
+    traced = pairs.withColumn(
+        "trace_id", F.when(first, F.col("conversation_id").cast("string")).otherwise(F.concat_ws("-", "conversation_id", "sequence_id"))
+    )
+    rollups = trace.rollup(stage_events(spark, sf), part_lines=20)
+    whole = materialize(turns.complete_rows(traced, rollups, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")), "turn-rows")
+    path = f"{shared_dir(spark)}/corpusengine/turns-{uuid.uuid4().hex}"
+    for batch in (0, 1, 2, 1):
+        turns.append_batch(whole.where(F.col("user_id") % 3 == batch), path, batch)
+    return turns.read_turns(spark, path).select(
+        "trace_id", "conversation_id", F.col("user_id").cast("bigint").alias("user_id"), F.col("sequence_id").cast("bigint").alias("sequence_id"),
+        "query", "answer", "memory", F.md5(joined("logs").cast("binary")).alias("logs_md5"), F.size("logs").cast("bigint").alias("n_logs"),
+        F.col("created_at").cast("string").alias("created_at"),
+    )
+
+
 @query
 def stage_latency(spark, sf):
     r = trace.stage_latency(stage_events(spark, sf))

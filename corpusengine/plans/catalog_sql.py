@@ -374,6 +374,17 @@ FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS rn FROM documents) GROUP
     "trace_rollup": """
 SELECT user_id AS trace_id, (rn - 1) // 500 + 1 AS part, string_agg(event_type || ' ' || props, '|' ORDER BY rn) AS lines
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) GROUP BY 1, 2""",
+    "turn_rows": _with(
+        f"""{TURNS},
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY turn) AS sequence_id FROM pairs),
+traced AS (SELECT *, CASE WHEN sequence_id = 1 THEN conversation_id::VARCHAR ELSE conversation_id || '-' || sequence_id END AS trace_id FROM numbered),
+lines AS (SELECT user_id::VARCHAR AS trace_id, string_agg(event_type || ' ' || props, '|' ORDER BY ts, event_id) AS l, count(*) AS n
+          FROM events GROUP BY 1)""",
+        f"""SELECT trace_id, conversation_id::VARCHAR AS conversation_id, conversation_id % 7 AS user_id, sequence_id, query,
+       coalesce(answer, '{ERROR_ANSWER}') AS answer, answer AS memory, md5(coalesce(l, '')) AS logs_md5, coalesce(n, 0)::BIGINT AS n_logs,
+       '2024-02-01 00:00:00' AS created_at
+FROM traced LEFT JOIN lines USING (trace_id)""",
+    ),
     "stage_latency": """
 SELECT event_type AS stage, count(value) AS n, round(avg(value), 6) AS mean_seconds, max(value) AS max_seconds,
        round(quantile_cont(value, 0.95), 6) AS p95_seconds, count(*) FILTER (value IS NULL) AS n_failed FROM events GROUP BY 1""",
