@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
@@ -162,3 +164,57 @@ def lsh_search(queries: DataFrame, index: DataFrame, dim: int, k: int = 5, bits:
     flips = F.array(F.lit(0).cast("bigint"), *[F.lit(1 << b).cast("bigint") for b in range(bits)])
     probing = coded.withColumn("codes", F.transform(flips, lambda f: F.col("_code").bitwiseXOR(f)))
     return knn(probing, index, k, within=("codes", "code"), **columns)
+
+
+def hashed_planes(dim: int, tables: int, bits: int) -> np.ndarray:
+    """`tables` x `bits` directions of signs, each the first bit of the MD5 of `table:bit:component`, so that SQL can make them too."""
+    sign = lambda t, b, j: 1.0 if hashlib.md5(f"{t}:{b}:{j}".encode()).digest()[0] < 128 else -1.0
+    return np.array([[[sign(t, b, j) for j in range(dim)] for b in range(bits)] for t in range(tables)])
+
+
+def lsh_index(vectors: DataFrame, dim: int, tables: int = 6, bits: int = 8, vec: str = "embedding") -> DataFrame:
+    """Every vector once per table, with `bucket`, the number of its table and code.
+
+    Stored by `bucket`, a search reads the buckets it probes.  Vectors of another length, or with a null, are left out.
+    """
+    planes = hashed_planes(dim, tables, bits).reshape(tables * bits, dim)
+    weights = 1 << np.arange(bits, dtype=np.int64)
+
+    @F.pandas_udf("array<bigint>")
+    def buckets(batch: pd.Series) -> pd.Series:
+        side = (np.stack(batch.to_numpy()).astype(np.float64) @ planes.T > 0).reshape(-1, tables, bits)
+        return pd.Series(list(side @ weights + (np.arange(tables, dtype=np.int64) << bits)))
+
+    fits = F.col(vec).isNotNull() & (F.size(vec) == dim) & ~F.exists(vec, lambda x: x.isNull())
+    return vectors.where(fits).withColumn("bucket", F.explode(buckets(F.col(vec))))
+
+
+def lsh_probes(queries: DataFrame, dim: int, tables: int = 6, bits: int = 8, probes: int = 2, vec: str = "embedding") -> DataFrame:
+    """Adds `buckets`: per table the query's own and the `probes` across its nearest planes."""
+    planes = hashed_planes(dim, tables, bits).reshape(tables * bits, dim)
+    weights = 1 << np.arange(bits, dtype=np.int64)
+
+    @F.pandas_udf("array<bigint>")
+    def probed(batch: pd.Series) -> pd.Series:
+        away = (np.stack(batch.to_numpy()).astype(np.float64) @ planes.T).reshape(-1, tables, bits)
+        own = (away > 0) @ weights
+        nearest = np.argsort(np.abs(away), axis=2, kind="stable")[:, :, :probes]
+        codes = np.concatenate([own[:, :, None], own[:, :, None] ^ (1 << nearest.astype(np.int64))], axis=2)
+        codes += (np.arange(tables, dtype=np.int64) << bits)[None, :, None]
+        return pd.Series(list(codes.reshape(len(codes), -1)))
+
+    fits = F.col(vec).isNotNull() & (F.size(vec) == dim) & ~F.exists(vec, lambda x: x.isNull())
+    return queries.where(fits).withColumn("buckets", probed(F.col(vec)))
+
+
+def lsh_tables_search(
+    queries: DataFrame, index: DataFrame, dim: int, k: int = 5, tables: int = 6, bits: int = 8, probes: int = 2, **columns
+) -> DataFrame:
+    """k-NN among the vectors that share a probed bucket with the query in any of the tables of a `lsh_index`.
+
+    A vector is met at most once per table, so the `k * tables` nearest meetings hold the `k` nearest vectors.
+    """
+    asked = materialize(lsh_probes(queries, dim, tables, bits, probes, columns.get("query_vec", "embedding")), "lsh-probes")
+    met = knn(asked, index, k * tables, within=("buckets", "bucket"), **columns).drop("rank")
+    best = W.partitionBy("query_id").orderBy("score", "vec_id")
+    return met.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -630,7 +630,7 @@ def ivf_search(spark, sf):
     vectors = labelled_vectors(spark, sf)
     centres = ann.ivf_train(vectors, 16)
     cells = ann.ivf_assign(vectors, centres)
-    return _hits(ann.ivf_search(vector_queries(spark, sf), cells, centres, nprobe=4))
+    return _hits(ann.ivf_search(vector_queries(spark, sf), cells, centres, nprobe=11))
 
 
 @query
@@ -647,6 +647,12 @@ def ann_lsh(spark, sf):
     return _hits(ann.lsh_search(vector_queries(spark, sf), cells, 64, bits=4))
 
 
+@query
+def ann_lsh_tables(spark, sf):
+    index = materialize(ann.lsh_index(labelled_vectors(spark, sf), 64, tables=8, bits=4), "lsh-index")
+    return _hits(ann.lsh_tables_search(vector_queries(spark, sf), index, 64, tables=8, bits=4, probes=2))
+
+
 def _label_routes(spark, sf, **options):
     queries = vector_queries(spark, sf).drop("sections")
     routed = hybrid.route(queries, section_centroids(labelled_vectors(spark, sf)), **options)
@@ -791,25 +797,11 @@ def prompt_assembly(spark, sf):
     )
 
 
-@query
-def expansion_guard(spark, sf):
-    first_two = W.partitionBy("conv_id").orderBy("turn")
-    users = table(spark, sf, "conversations").where("role = 'user'").withColumn("n", F.row_number().over(first_two))
-    asked = (
-        users.where("n <= 2")
-        .groupBy(F.col("conv_id").alias("query_id"))
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]).alias("candidates"))
-        .withColumn("query", F.get("candidates", F.lit(0)))
-    )
-    return inference.guard_expansions(asked, near=False).select("query_id", joined("expansions").alias("expansions"))
-
-
-@query
-def expansion_guard_turns(spark, sf):
-    """Every user message as a query, with the user messages after it as candidates; near duplicates go too."""
+def _message_queries(spark, sf):
+    """Every user message as a query, with the two user messages after it, the limit of the guard, as candidates."""
     users = table(spark, sf, "conversations").where("role = 'user'")
     numbered = materialize(with_sequence(users, ["conv_id"], ["turn"], "n"), "user-messages")
-    # A message goes to its own query and to those of the two before it, the limit of the guard.
+    # A message goes to its own query and to those of the two before it.
     texts = numbered.select(
         "conv_id", F.posexplode(F.array(F.col("n"), F.col("n") - 1, F.col("n") - 2)).alias("no", "n"), "text"
     ).where("n > 0")
@@ -818,4 +810,16 @@ def expansion_guard_turns(spark, sf):
         .agg(F.transform(F.sort_array(F.collect_list(F.struct("no", "text"))), lambda x: x["text"]).alias("texts"))
         .select(F.concat_ws(":", "conv_id", "n").alias("query_id"), F.get("texts", F.lit(0)).alias("query"), F.slice("texts", 2, 2).alias("candidates"))
     )
-    return inference.guard_expansions(materialize(asked, "expansion-queries")).select("query_id", joined("expansions").alias("expansions"))
+    return materialize(asked, "expansion-queries")
+
+
+@query
+def expansion_guard(spark, sf):
+    """Without the near-duplicate step, which SQL cannot repeat."""
+    return inference.guard_expansions(_message_queries(spark, sf), near=False).select("query_id", joined("expansions").alias("expansions"))
+
+
+@query
+def expansion_guard_turns(spark, sf):
+    """The whole guard; near duplicates go too."""
+    return inference.guard_expansions(_message_queries(spark, sf)).select("query_id", joined("expansions").alias("expansions"))

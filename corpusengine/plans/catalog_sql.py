@@ -430,6 +430,19 @@ SELECT doc_id, 0::BIGINT AS n_oversize, 0::BIGINT AS n_unstripped, true AS numbe
 FROM documents WHERE {strip('text')} <> ''""",
     "knn_l2": _with(L2, "SELECT query_id, vec_id, d AS score, rank FROM l2"),
     "ivf_exact": _with(L2, "SELECT query_id, vec_id, d AS score, rank FROM l2"),
+    "ann_lsh_tables": _with(
+        f"""{PAIRS},
+planes AS (SELECT t, b, j, CASE WHEN md5(t || ':' || b || ':' || j)[1] < '8' THEN 1 ELSE -1 END AS s
+           FROM (SELECT unnest(range(8)) AS t), (SELECT unnest(range(4)) AS b), (SELECT unnest(range(64)) AS j)),
+components AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS j FROM embeddings),
+dots AS MATERIALIZED (SELECT vec_id, t, b, sum(x * s) AS d FROM components JOIN planes USING (j) GROUP BY ALL),
+codes AS MATERIALIZED (SELECT vec_id, t, sum(CASE WHEN d > 0 THEN 1 << b ELSE 0 END)::BIGINT AS code FROM dots GROUP BY ALL),
+flips AS (SELECT vec_id, t, b FROM dots QUALIFY row_number() OVER (PARTITION BY vec_id, t ORDER BY abs(d), b) <= 2),
+probes AS (SELECT vec_id, t, code FROM codes UNION ALL SELECT vec_id, t, xor(code, (1 << b)::BIGINT) FROM flips JOIN codes USING (vec_id, t)),
+met AS (SELECT DISTINCT p.vec_id AS query_id, c.vec_id FROM probes p JOIN codes c USING (t, code)),
+near_met AS (SELECT query_id, vec_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM met JOIN pairs USING (query_id, vec_id))""",
+        "SELECT query_id, vec_id, d AS score, rank FROM near_met WHERE rank <= 5",
+    ),
     "knn_cosine": _with(
         VECTORS,
         """SELECT * FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
@@ -570,8 +583,8 @@ parts AS (SELECT conv_id, string_agg('[' || upper(src) || '] ' || text, chr(10)
     ),
     "expansion_guard": _with(
         f"""
-asks AS (SELECT * FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'user') WHERE n <= 2),
-texts AS (SELECT conv_id, 0 AS no, text FROM asks WHERE n = 1 UNION ALL SELECT conv_id, n, text FROM asks),
+asks AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'user'),
+texts AS (SELECT conv_id || ':' || (n - no) AS conv_id, no, text FROM asks, (SELECT unnest([0, 1, 2]) AS no) WHERE n > no),
 split AS (SELECT conv_id, no, {sentences(collapse(mask("text")))} AS s FROM texts WHERE NOT {unsafe('text')} AND {strip('text')} <> ''),
 rows0 AS (SELECT conv_id, no, unnest(s) AS sentence, generate_subscripts(s, 1) AS pos FROM split),
 kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, sentence ORDER BY no, pos) AS nth FROM rows0) WHERE nth = 1 OR length(sentence) < 20),
