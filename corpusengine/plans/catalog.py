@@ -34,7 +34,7 @@ from corpusengine.plans.inputs import (
 )
 from corpusengine.session import materialize, shared_dir, spread
 from corpusengine.sources import chunks as chunk_table
-from corpusengine.sources import corpus, index, topics, turns, versions
+from corpusengine.sources import corpus, delta_index, index, topics, turns, versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -653,6 +653,23 @@ def ann_lsh_tables(spark, sf):
     return _hits(ann.lsh_tables_search(vector_queries(spark, sf), index, 64, tables=8, bits=4, probes=2))
 
 
+@query
+def index_updates(spark, sf):
+    """Vectors by cell with three batches of updates and deletions, a compaction between them, and a replay."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding", F.col("label").cast("bigint").alias("cell"))
+    folder = f"{shared_dir(spark)}/corpusengine/delta-index-{uuid.uuid4().hex}"
+    delta_index.create(vectors.where("vec_id % 5 <> 0"), folder, key="vec_id")
+    moved = vectors.where("vec_id % 10 = 1").withColumn("cell", F.col("cell") + 1)
+    delta_index.apply(spark, folder, 0, vectors.where("vec_id % 5 = 0").unionByName(moved))
+    delta_index.apply(spark, folder, 1, deletes=vectors.where("vec_id % 7 = 0"))
+    delta_index.compact(spark, folder)
+    again = vectors.where("vec_id % 14 = 0").withColumn("cell", F.lit(0).cast("bigint"))
+    for batch in (1, 2, 2):  # batch 1 is merged already, batch 2 is sent twice
+        delta_index.apply(spark, folder, batch, again, vectors.where("vec_id % 11 = 3"))
+    index_now = delta_index.read(spark, folder)
+    return index_now.select("vec_id", "cell", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"))
+
+
 def _label_routes(spark, sf, **options):
     queries = vector_queries(spark, sf).drop("sections")
     routed = hybrid.route(queries, section_centroids(labelled_vectors(spark, sf)), **options)

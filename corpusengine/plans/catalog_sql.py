@@ -443,6 +443,10 @@ met AS (SELECT DISTINCT p.vec_id AS query_id, c.vec_id FROM probes p JOIN codes
 near_met AS (SELECT query_id, vec_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM met JOIN pairs USING (query_id, vec_id))""",
         "SELECT query_id, vec_id, d AS score, rank FROM near_met WHERE rank <= 5",
     ),
+    "index_updates": """
+SELECT vec_id, CASE WHEN vec_id % 14 = 0 THEN 0 WHEN vec_id % 10 = 1 THEN label + 1 ELSE label END::BIGINT AS cell,
+       round(list_sum(embedding::DOUBLE[]), 6) AS total
+FROM embeddings WHERE CASE WHEN vec_id % 14 = 0 THEN true ELSE vec_id % 7 <> 0 AND vec_id % 11 <> 3 END""",
     "knn_cosine": _with(
         VECTORS,
         """SELECT * FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
