@@ -1,9 +1,9 @@
-"""Token counts of a word BPE tokenizer by finite-state transducers.
+"""Token counts of a word BPE tokenizer by a finite-state automaton and a memo of pre-tokens.
 
-The tokenizer file is compiled into two deterministic transducers.  The first reads character
-classes and marks where its pre-tokens begin; the second reads whole pre-tokens, and each of its
-transitions carries the number of tokens that the merges leave of that pre-token.  Its
-transitions are added when they are first needed.
+The tokenizer file is compiled into one deterministic automaton, which reads character
+classes and marks where its pre-tokens begin.  The number of tokens that the merges leave of a
+pre-token comes from a memo, filled by the merge loop when a pre-token is first met; no
+transition carries a count.
 
 Texts of a batch form one stream cut into equal chunks.  All chunks are run side by side from every
 state, which gives each chunk's state map; a parallel prefix scan composes the maps, so
