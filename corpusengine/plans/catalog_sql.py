@@ -199,6 +199,20 @@ bysec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDE
                          WHERE label IN (l0, l1)) WHERE rank <= 5)"""
 
 
+def lsh_tables(tables: int, bits: int, probes: int) -> str:
+    """CTE `near_met(query_id, vec_id, d, rank)`: vectors that share a probed bucket with the query in any table."""
+    return f"""{PAIRS},
+planes AS (SELECT t, b, j, CASE WHEN md5(t || ':' || b || ':' || j)[1] < '8' THEN 1 ELSE -1 END AS s
+           FROM (SELECT unnest(range({tables})) AS t), (SELECT unnest(range({bits})) AS b), (SELECT unnest(range(64)) AS j)),
+components AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS j FROM embeddings),
+dots AS MATERIALIZED (SELECT vec_id, t, b, sum(x * s) AS d FROM components JOIN planes USING (j) GROUP BY ALL),
+codes AS MATERIALIZED (SELECT vec_id, t, sum(CASE WHEN d > 0 THEN 1 << b ELSE 0 END)::BIGINT AS code FROM dots GROUP BY ALL),
+flips AS (SELECT vec_id, t, b FROM dots QUALIFY row_number() OVER (PARTITION BY vec_id, t ORDER BY abs(d), b) <= {probes}),
+probes AS (SELECT vec_id, t, code FROM codes UNION ALL SELECT vec_id, t, xor(code, (1 << b)::BIGINT) FROM flips JOIN codes USING (vec_id, t)),
+met AS (SELECT DISTINCT p.vec_id AS query_id, c.vec_id FROM probes p JOIN codes c USING (t, code)),
+near_met AS (SELECT query_id, vec_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM met JOIN pairs USING (query_id, vec_id))"""
+
+
 def embed(source: str, key: str, text: str, name: str) -> str:
     """CTE `name(key, cell, x)`: the non-zero cells of the hashed-word vector."""
     return f"""
@@ -430,19 +444,8 @@ SELECT doc_id, 0::BIGINT AS n_oversize, 0::BIGINT AS n_unstripped, true AS numbe
 FROM documents WHERE {strip('text')} <> ''""",
     "knn_l2": _with(L2, "SELECT query_id, vec_id, d AS score, rank FROM l2"),
     "ivf_exact": _with(L2, "SELECT query_id, vec_id, d AS score, rank FROM l2"),
-    "ann_lsh_tables": _with(
-        f"""{PAIRS},
-planes AS (SELECT t, b, j, CASE WHEN md5(t || ':' || b || ':' || j)[1] < '8' THEN 1 ELSE -1 END AS s
-           FROM (SELECT unnest(range(8)) AS t), (SELECT unnest(range(4)) AS b), (SELECT unnest(range(64)) AS j)),
-components AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS j FROM embeddings),
-dots AS MATERIALIZED (SELECT vec_id, t, b, sum(x * s) AS d FROM components JOIN planes USING (j) GROUP BY ALL),
-codes AS MATERIALIZED (SELECT vec_id, t, sum(CASE WHEN d > 0 THEN 1 << b ELSE 0 END)::BIGINT AS code FROM dots GROUP BY ALL),
-flips AS (SELECT vec_id, t, b FROM dots QUALIFY row_number() OVER (PARTITION BY vec_id, t ORDER BY abs(d), b) <= 2),
-probes AS (SELECT vec_id, t, code FROM codes UNION ALL SELECT vec_id, t, xor(code, (1 << b)::BIGINT) FROM flips JOIN codes USING (vec_id, t)),
-met AS (SELECT DISTINCT p.vec_id AS query_id, c.vec_id FROM probes p JOIN codes c USING (t, code)),
-near_met AS (SELECT query_id, vec_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM met JOIN pairs USING (query_id, vec_id))""",
-        "SELECT query_id, vec_id, d AS score, rank FROM near_met WHERE rank <= 5",
-    ),
+    "ann_lsh": _with(lsh_tables(1, 4, 4), "SELECT query_id, vec_id, d AS score, rank FROM near_met WHERE rank <= 5"),
+    "ann_lsh_tables": _with(lsh_tables(8, 4, 2), "SELECT query_id, vec_id, d AS score, rank FROM near_met WHERE rank <= 5"),
     "index_updates": """
 SELECT vec_id, CASE WHEN vec_id % 14 = 0 THEN 0 WHEN vec_id % 10 = 1 THEN label + 1 ELSE label END::BIGINT AS cell,
        round(list_sum(embedding::DOUBLE[]), 6) AS total
