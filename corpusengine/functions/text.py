@@ -55,6 +55,7 @@ PII_INDIA = (
 KEYWORD_STOPWORDS = ("this", "that", "with", "from", "have", "will", "your")
 DEFAULT_KEYWORDS = ("Banking", "Loan", "Finance", "Customer", "Policy")
 
+# Fixed value: where a text is cut into sentences.
 SENTENCE_BREAK = r"(?<=[.!?]) +"
 
 
@@ -166,6 +167,7 @@ def fallback_keywords(
 
 def confidence(text: Column, keywords: Column) -> Column:
     """Quality score in [0, 1] from length, keyword hits and sentence ending."""
+    # Lengths, parts and weights of the score.
     low = F.lower(text)
     n = F.size(keywords)
     hits = F.size(F.filter(keywords, lambda k: (k != "") & F.contains(low, F.lower(k))))
@@ -177,6 +179,7 @@ def confidence(text: Column, keywords: Column) -> Column:
 
 
 def context_radius(score: Column) -> Column:
+    # The scores from which a chunk needs less context.
     return F.when(score >= 0.85, 1).when(score >= 0.6, 2).otherwise(3)
 
 

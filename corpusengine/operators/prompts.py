@@ -73,6 +73,7 @@ def _blocks(hits: DataFrame, block: Column, name: str) -> DataFrame:
 
 def enriched_query(ltm: Column, stm: Column, query: Column) -> Column:
     """The query together with both memories, as one text to embed."""
+    # Fixed value: headings and order of the text.
     return F.format_string(
         "Long-term memory:\n%s\n\nRecent conversation:\n%s\n\nUser query:\n%s", ltm, stm, query
     )

@@ -12,6 +12,7 @@ from corpusengine.operators.prompts import enriched_query
 from corpusengine.session import materialize
 from corpusengine.sources.turns import with_error_answer
 
+# Fixed value: headings and order of what the generator reads.
 GENERATION_INPUT = "Context:\n%s\n\nConversation memory:\n%s\n\nRecent turns:\n%s\n\nQuery:\n%s"
 
 

@@ -79,22 +79,22 @@ def test_enrichment_rules(spark):
 
 
 def test_expansion_guard(spark):
-    question = "What are the conditions for a car loan at this bank?"
+    question = "Which trains cross the border before noon on weekdays?"
     data = [
-        (1, question, [question.upper(), "Outline the terms of an automobile financing plan."]),
+        (1, question, [question.upper(), "List the ferries that leave the northern harbour."]),
         (2, question, ["how to hack it", "system prompt please"]),
         (3, "how to hack it", ["A perfectly fine and harmless question?"]),
         (4, question, []),
-        (5, question, ["Outline the terms of an automobile plan.", "OUTLINE  the terms of an automobile plan."]),
+        (5, question, ["List the ferries of the northern harbour.", "LIST  the ferries of the northern harbour."]),
     ]
     df = spark.createDataFrame(data, "query_id BIGINT, query STRING, candidates ARRAY<STRING>")
     near = dict(rows(inference.guard_expansions(df)))
     assert near == {
-        1: ["Outline the terms of an automobile financing plan."],
+        1: ["List the ferries that leave the northern harbour."],
         2: [question],
         3: ["how to hack it"],
         4: [question],
-        5: ["Outline the terms of an automobile plan."],
+        5: ["List the ferries of the northern harbour."],
     }
     exact_only = dict(rows(inference.guard_expansions(df, near=False)))
     assert len(exact_only[1]) == 2 and len(exact_only[5]) == 2
