@@ -17,9 +17,9 @@ def brute_places(w):
     )
 
 
-def brute_matching(w, texts):
-    """Longest template substring that ends at each word, by trying all."""
-    subs = {tuple(t[i:j]) for t in texts for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
+def brute_matching(w, t):
+    """Longest substring of a template that ends at each word, by trying all."""
+    subs = {tuple(t[i:j]) for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
     out = []
     for e in range(len(w)):
         n = 0
@@ -29,6 +29,28 @@ def brute_matching(w, texts):
     return out
 
 
+def brute_tops(w, t):
+    """`(end, length)` of a template's maximal matches that are long enough."""
+    best, need = brute_matching(w, t), min(L.MIN_MATCH, len(t))
+    return {(e, n) for e, n in enumerate(best) if n >= need and (e + 1 == len(w) or best[e + 1] != n + 1)}
+
+
+def brute_cover(w, t):
+    """Most words of a template that any chain of its matches covers, by trying all chains."""
+    tops = sorted(brute_tops(w, t))
+    links = [(e, n, i + n - 1) for e, n in tops for i in range(len(t) - n + 1) if t[i : i + n] == w[e - n + 1 : e + 1]]
+
+    def grown(chain_end, t_end, covered, rest):
+        best = covered
+        for k, (e, n, i) in enumerate(rest):
+            skip = max(0, chain_end + 1 - (e - n + 1), t_end + 1 - (i - n + 1))
+            if e > chain_end and e - n + 1 - chain_end <= L.MAX_GAP and skip < n:
+                best = max(best, grown(e, i, covered + n - skip, rest[k + 1 :]))
+        return best
+
+    return max((grown(e, i, n, links[k + 1 :]) for k, (e, n, i) in enumerate(links)), default=0)
+
+
 def test_scan_against_brute_force():
     rng = random.Random(2)
     texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(6)]
@@ -40,11 +62,63 @@ def test_scan_against_brute_force():
         assert sorted(places) == sorted(
             (i, p) for p in (0, 1) for i in range(len(w)) if w[i : i + 2] == plain[p]
         )
-        best = brute_matching(w, plain)
-        tops = {(e, n) for e, n in enumerate(best) if n > 1 and (e + 1 == len(w) or best[e + 1] != n + 1)}
-        assert {(e, n) for e, n, _ in matches} == tops
-        for e, n, v in matches:
-            assert all(plain[t][end - n + 1 : end + 1] == w[e - n + 1 : e + 1] for t, end in machine.states[v].ends.items())
+        for t in range(2, len(plain)):
+            assert sorted((e, n) for e, n, k, _ in matches if k == t) == sorted(brute_tops(w, plain[t]))
+        for e, n, t, v in matches:
+            m = w[e - n + 1 : e + 1]
+            ends = {i + n - 1 for i in range(len(plain[t]) - n + 1) if plain[t][i : i + n] == m}
+            assert machine.states[v].ends[t] == ends
+
+
+def test_chains_against_brute_force(monkeypatch):
+    monkeypatch.setattr(L, "MIN_MATCH", 2)
+    monkeypatch.setattr(L, "MAX_GAP", 3)
+    rng = random.Random(5)
+    seen = 0
+    for _ in range(250):
+        t = [rng.choice("abcd") for _ in range(rng.randint(4, 9))]
+        w = [x for x in t if rng.random() < 0.85 for x in ([x] if rng.random() < 0.8 else [x, rng.choice("abcdx")])]
+        machine = L.Automaton([], [("t", " ".join(t))])
+        _, matches = machine.scan([x.encode() for x in w])
+        spans, best = machine.spans(matches), brute_cover(w, t)
+        assert max((s.covered for s in spans), default=0) == (best if best >= L.MIN_COVERAGE * len(t) else 0)
+        assert all(a.last < b.first for a, b in zip(spans, spans[1:]))
+        seen += bool(spans)
+    assert seen > 50
+
+
+def labels(text):
+    machine = L.Automaton(L.PHRASES, L.TEMPLATES)
+    return {machine.labels[s.template] for s in machine.spans(machine.scan(L.words_of(text.encode()))[1])}
+
+
+def test_notices_that_share_words():
+    cc = "This work is licensed under a Creative Commons Attribution"
+    cases = {
+        f"{cc}-NonCommercial-ShareAlike 4.0 International License": {"cc-by-nc-sa"},
+        f"{cc}-NonCommercial 4.0 International License": {"cc-by-nc"},
+        f"{cc} 4.0 International License": {"cc-by"},
+        "This work is licensed under the Mozilla Public License, v. 2.0": {"mpl-2"},
+        "Covered under the Mozilla Public License, version 1.1, as it stands": {"mpl-1.1"},
+        "Licensed under the BSD 3-Clause License": {"bsd-3-clause"},
+        "Distributed under the ISC license": {"isc"},
+        "// SPDX-License-Identifier: Apache-2.0": {"apache-2"},
+        "# SPDX-License-Identifier: GPL-2.0-or-later": {"gpl-2"},
+        "SPDX-License-Identifier: FooBar-1.0": set(),
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation": {"agpl"},
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation": {"lgpl"},
+        "under the MIT License or, at your option, later in this file and far from it, under the Apache License, Version 2.0": {"mit", "apache-2"},
+        "the terms and conditions under which the library was built are public": set(),
+    }
+    assert {text: labels(text) for text in cases} == cases
+
+
+def test_long_text_of_one_notice():
+    machine = L.Automaton(L.PHRASES, L.TEMPLATES)
+    spans = machine.spans(machine.scan(L.words_of(b"All rights reserved. " * 20_000))[1])
+    assert len(spans) == 20_000 and all(s.covered == 3 for s in spans)
 
 
 def test_labels_and_spans(make_docs, tmp_path):
