@@ -180,6 +180,10 @@ FIRST_SENTENCES = """
 firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sentence ORDER BY doc_id, pos) AS nth FROM sents)
            WHERE nth = 1 OR length(sentence) < 20)"""
 
+SAFE_SENTENCES = f"""
+safe AS (SELECT doc_id, {sentences(collapse(mask("nfc_normalize(text)")))} AS s FROM documents WHERE NOT {unsafe('text')} AND {strip('text')} <> ''),
+sents AS (SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS pos FROM safe)"""
+
 VECTORS = """
 vecs AS (SELECT vec_id, embedding::DOUBLE[] AS v, label, 'label ' || label AS section FROM embeddings),
 unit AS (SELECT *, list_transform(v, lambda x: x / (sqrt(list_inner_product(v, v)) + 1e-9)) AS u FROM vecs)"""
@@ -304,6 +308,63 @@ def _with(ctes: str, select: str) -> str:
     return f"WITH {ctes.strip()}\n{select}"
 
 
+ASKED = f"""
+asks AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'user'),
+texts AS (SELECT conv_id || ':' || (n - no) AS conv_id, no, text FROM asks, (SELECT unnest([0, 1, 2]) AS no) WHERE n > no),
+split AS (SELECT conv_id, no, {sentences(collapse(mask("text")))} AS s FROM texts WHERE NOT {unsafe('text')} AND {strip('text')} <> ''),
+rows0 AS (SELECT conv_id, no, unnest(s) AS sentence, generate_subscripts(s, 1) AS pos FROM split),
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, sentence ORDER BY no, pos) AS nth FROM rows0) WHERE nth = 1 OR length(sentence) < 20)"""
+
+GOOD_EXPANSIONS = """
+good AS (SELECT conv_id, string_agg(text, '|' ORDER BY no) AS e FROM passed JOIN texts USING (conv_id, no)
+         WHERE no > 0 AND conv_id IN (SELECT conv_id FROM passed WHERE no = 0) GROUP BY 1)"""
+
+
+def signed(rows: str) -> str:
+    """`sigs` (key, s): 64 least CRC-32 values of the 5-character shingles of `rows` (key, sentence), for those with a shingle.
+
+    The register is linear in its start, so the one after a shingle and the digits of `j` is that after the shingle, moved on
+    by as many zero bytes, combined with that of the digits alone.
+    """
+
+    def fed(start: str, raw: str) -> str:
+        return f"""list_reduce(list_transform(range(0, length(hex({raw})), 2), lambda i: ('0x' || substr(hex({raw}), i + 1, 2))::BIGINT),
+            lambda s, b: list_reduce(range(8), lambda c, _: xor(c >> 1, (c & 1) * 3988292384), xor(s, b)), {start})"""
+
+    zero = "list_reduce(range(8), lambda c, _: xor(c >> 1, (c & 1) * 3988292384), {})"
+    return f"""
+bare AS (SELECT key, regexp_replace(lower(sentence), '{WS}+', '', 'g') AS c FROM {rows}),
+grams AS (SELECT DISTINCT key, substr(c, i, 5) AS g FROM (SELECT key, c, unnest(range(1, length(c) - 3)) AS i FROM bare)),
+fed0 AS (SELECT g, {fed("4294967295::BIGINT", "encode(g)")} AS f0 FROM (SELECT DISTINCT g FROM grams)),
+fed1 AS (SELECT g, {zero.format("f0")} AS f1 FROM fed0),
+fed2 AS (SELECT g, f1, {zero.format("f1")} AS f2 FROM fed1),
+perms AS (SELECT j, {fed("0::BIGINT", "encode(j::VARCHAR)")} AS k FROM (SELECT unnest(range(64)) AS j)),
+least AS (SELECT key, j, min(xor(xor(CASE WHEN j < 10 THEN f1 ELSE f2 END, k), 4294967295)) AS v FROM grams JOIN fed2 USING (g), perms GROUP BY 1, 2),
+sigs AS MATERIALIZED (SELECT key, list(v ORDER BY j) AS s FROM least GROUP BY 1)"""
+
+
+def greedy() -> str:
+    """`gone` (id, keeper, matches) of `sigs` with a column `scope`: one pass in the order of the key.
+
+    Two signatures that agree on 55 of 64 places agree on all places of one of ten classes modulo 10.
+    """
+    return """
+places AS (SELECT key, scope, s, b, list_filter(s, lambda _, i: (i - 1) % 10 = b) AS part FROM scoped, (SELECT unnest(range(10)) AS b)),
+alike AS (SELECT DISTINCT x.key AS id, y.key AS keeper, list_sum(list_transform(range(1, 65), lambda i: (x.s[i] = y.s[i])::INT))::INT AS matches
+          FROM places x JOIN places y ON x.b = y.b AND x.part = y.part AND x.scope = y.scope AND y.key < x.key),
+earlier AS MATERIALIZED (SELECT id, list(keeper ORDER BY keeper) AS before, row_number() OVER (ORDER BY id) AS n FROM alike WHERE matches >= 55 GROUP BY 1),
+pass AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS out, NULL::BIGINT AS id, NULL::BIGINT AS keeper
+         UNION ALL
+         SELECT n, CASE WHEN keeper IS NULL THEN out ELSE list_append(out, id) END, id, keeper
+         FROM (SELECT e.n, p.out, e.id, list_filter(e.before, lambda k: NOT list_contains(p.out, k))[1] AS keeper
+               FROM pass p JOIN earlier e ON e.n = p.n + 1)),
+gone AS (SELECT id, keeper, matches FROM pass JOIN alike USING (id, keeper))"""
+
+
+def _recursive(ctes: str, select: str) -> str:
+    return f"WITH RECURSIVE {ctes.strip()}\n{select}"
+
+
 _NAMED = "' ' || upper(source[1]) || lower(source[2:]) || ' (' || lang || ') '"
 
 ORACLES: dict[str, str] = {
@@ -434,11 +495,27 @@ seen AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY p, i) A
     ),
     "exact_dedup": _with(f"{SENTENCES}, {FIRST_SENTENCES}", "SELECT doc_id, pos, sentence FROM firsts"),
     "clean_documents": _with(
-        f"""
-safe AS (SELECT doc_id, {sentences(collapse(mask("nfc_normalize(text)")))} AS s FROM documents WHERE NOT {unsafe('text')} AND {strip('text')} <> ''),
-sents AS (SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS pos FROM safe), {FIRST_SENTENCES}""",
+        f"{SAFE_SENTENCES}, {FIRST_SENTENCES}",
         "SELECT * FROM (SELECT doc_id, string_agg(sentence, ' ' ORDER BY pos) AS text FROM firsts GROUP BY 1) WHERE length(text) > 5",
     ),
+    "minhash_signature": _with(
+        f"""{SENTENCES}, {FIRST_SENTENCES},
+keyed AS (SELECT *, row_number() OVER (ORDER BY doc_id, pos, sentence) AS key FROM firsts), {signed("keyed")}""",
+        "SELECT doc_id, pos, array_to_string(s, '|') AS signature FROM keyed LEFT JOIN sigs USING (key)",
+    ),
+    "near_dup_pairs": _recursive(
+        f"""{SENTENCES}, {FIRST_SENTENCES},
+keyed AS (SELECT *, row_number() OVER (ORDER BY doc_id, pos) AS key FROM firsts WHERE length(sentence) >= 20), {signed("keyed")},
+scoped AS (SELECT *, 0 AS scope FROM sigs), {greedy()}""",
+        "SELECT id, keeper, matches FROM gone",
+    ),
+    "near_dedup": _recursive(
+        f"""{SAFE_SENTENCES}, {FIRST_SENTENCES},
+keyed AS (SELECT *, row_number() OVER (ORDER BY doc_id, pos) AS key FROM firsts),
+long AS (SELECT * FROM keyed WHERE length(sentence) >= 20), {signed("long")},
+scoped AS (SELECT *, 0 AS scope FROM sigs), {greedy()}""",
+        "SELECT doc_id, pos, sentence FROM keyed WHERE key NOT IN (SELECT id FROM gone)",
+    ),
     "chunk_invariants": f"""
 SELECT doc_id, 0::BIGINT AS n_oversize, 0::BIGINT AS n_unstripped, true AS numbered, true AS starts_right, true AS ends_right, true AS covers
 FROM documents WHERE {strip('text')} <> ''""",
@@ -589,15 +666,16 @@ parts AS (SELECT conv_id, string_agg('[' || upper(src) || '] ' || text, chr(10)
            FROM parts JOIN stm ON stm.conversation_id = conv_id JOIN ltm USING (conversation_id)""",
     ),
     "expansion_guard": _with(
-        f"""
-asks AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'user'),
-texts AS (SELECT conv_id || ':' || (n - no) AS conv_id, no, text FROM asks, (SELECT unnest([0, 1, 2]) AS no) WHERE n > no),
-split AS (SELECT conv_id, no, {sentences(collapse(mask("text")))} AS s FROM texts WHERE NOT {unsafe('text')} AND {strip('text')} <> ''),
-rows0 AS (SELECT conv_id, no, unnest(s) AS sentence, generate_subscripts(s, 1) AS pos FROM split),
-kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, sentence ORDER BY no, pos) AS nth FROM rows0) WHERE nth = 1 OR length(sentence) < 20),
-passed AS (SELECT conv_id, no FROM kept GROUP BY 1, 2 HAVING sum(length(sentence) + 1) - 1 > 5),
-good AS (SELECT conv_id, string_agg(text, '|' ORDER BY no) AS e FROM passed JOIN texts USING (conv_id, no)
-         WHERE no > 0 AND conv_id IN (SELECT conv_id FROM passed WHERE no = 0) GROUP BY 1)""",
-        """SELECT t.conv_id AS query_id, coalesce(e, t.text) AS expansions FROM texts t LEFT JOIN good USING (conv_id) WHERE no = 0""",
+        f"{ASKED}, passed AS (SELECT conv_id, no FROM kept GROUP BY 1, 2 HAVING sum(length(sentence) + 1) - 1 > 5), {GOOD_EXPANSIONS}",
+        "SELECT t.conv_id AS query_id, coalesce(e, t.text) AS expansions FROM texts t LEFT JOIN good USING (conv_id) WHERE no = 0",
+    ),
+    "expansion_guard_turns": _recursive(
+        f"""{ASKED},
+keyed AS (SELECT *, row_number() OVER (ORDER BY conv_id, no, pos) AS key FROM kept),
+long AS (SELECT * FROM keyed WHERE length(sentence) >= 20), {signed("long")},
+scoped AS (SELECT sigs.*, conv_id AS scope FROM sigs JOIN keyed USING (key)), {greedy()},
+passed AS (SELECT conv_id, no FROM keyed WHERE key NOT IN (SELECT id FROM gone) GROUP BY 1, 2 HAVING sum(length(sentence) + 1) - 1 > 5),
+{GOOD_EXPANSIONS}""",
+        "SELECT t.conv_id AS query_id, coalesce(e, t.text) AS expansions FROM texts t LEFT JOIN good USING (conv_id) WHERE no = 0",
     ),
 }

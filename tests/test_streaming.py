@@ -1,3 +1,7 @@
+import datetime
+import random
+
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusengine.operators import ann, dedup, memory
@@ -81,3 +85,66 @@ def test_memory_stream_equals_batch(spark, tmp_path):
     assert rows(last, "conversation_id", "stm") == rows(memory.short_term(batch))
     assert rows(last, "conversation_id", "memory") == rows(memory.memory_tail(batch))
     assert rows(last, "conversation_id", F.col("sequence_id") + 1) == rows(memory.next_sequence(batch))
+
+
+def _numbered(data, schema, spark):
+    w = W.partitionBy("conversation_id").orderBy("turn")
+    return spark.createDataFrame(data, schema).withColumn("sequence_id", F.row_number().over(w).cast("bigint"))
+
+
+def test_memory_stream_hot_conversation_in_frames(spark, tmp_path):
+    schema = "conversation_id BIGINT, turn BIGINT, query STRING, answer STRING"
+    data = [(1, t, f"q{t}", f"a{t}") for t in range(700)] + [(2, t, f"p{t}", None) for t in range(3)]
+    random.Random(4).shuffle(data)
+    folder = str(tmp_path / "in")
+    spark.createDataFrame(data, schema).coalesce(1).write.parquet(folder)
+    limits = [f"spark.sql.execution.arrow.{x}maxRecordsPerBatch" for x in ("", "transformWithStateInPandas.")]
+    before = {x: spark.conf.get(x, None) for x in limits}
+    for x in limits:
+        spark.conf.set(x, 100)
+    try:
+        stream = spark.readStream.schema(schema).parquet(folder)
+        run(
+            stream_memory.memory_stream(stream).writeStream.format("memory").queryName("hot_out")
+            .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        )
+    finally:
+        for x, value in before.items():
+            spark.conf.unset(x) if value is None else spark.conf.set(x, value)
+    out, batch = spark.table("hot_out"), _numbered(data, schema, spark)
+    assert rows(out, "conversation_id", "turn", "sequence_id") == rows(batch, "conversation_id", "turn", "sequence_id")
+    last = out.where("turn = CASE conversation_id WHEN 1 THEN 699 ELSE 2 END")
+    assert rows(last, "conversation_id", "stm") == rows(memory.short_term(batch))
+    assert rows(last, "conversation_id", "memory") == rows(memory.memory_tail(batch))
+
+
+def test_memory_stream_puts_late_turns_in_order(spark, tmp_path):
+    schema = "conversation_id BIGINT, turn BIGINT, query STRING, answer STRING, said_at TIMESTAMP"
+    begin = datetime.datetime(2024, 5, 1, 12)
+    at = lambda minutes: begin + datetime.timedelta(minutes=minutes)
+    data = [(c, t, f"q{c}{t}", f"a{c}{t}", at(t)) for t in range(8) for c in range(3)]
+    parts = [
+        [d for d in data if d[1] in (0, 3, 5)],
+        [d for d in data if d[1] in (1, 2)] + data[:2],  # late, and two turns sent again
+        [d for d in data if d[1] in (4, 6, 7)] + [(9, 0, "no time", None, None)],
+        [(100, 0, "later", "x", at(60))],
+        [(100, 1, "much later", "y", at(600))],
+        [(0, 50, "anew", "z", at(601)), (100, 2, "last", "z", at(2000))],
+        [(100, 3, "end", "z", at(3000))],
+    ]
+    folder = str(tmp_path / "in")
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{folder}/part={i}")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/part=*")
+        run(
+            stream_memory.memory_stream(stream, event_time="said_at", idle_ms=3_600_000).writeStream.format("parquet")
+            .option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        )
+    out, batch = spark.read.parquet(str(tmp_path / "out")), _numbered(data, schema, spark)
+    first = out.where("conversation_id < 3 AND turn < 50")
+    assert rows(first, "conversation_id", "turn", "sequence_id") == rows(batch, "conversation_id", "turn", "sequence_id")
+    assert rows(first.where("turn = 7"), "conversation_id", "stm") == rows(memory.short_term(batch))
+    assert rows(first.where("turn = 7"), "conversation_id", "memory") == rows(memory.memory_tail(batch))
+    # After ten idle hours the conversation begins anew.
+    assert rows(out.where("turn = 50"), "sequence_id", "stm") == [(1, "User: anew\nAssistant: z")]
+    assert out.where("conversation_id = 9").isEmpty()
