@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +17,7 @@ from corpusengine.operators.dedup import (
 )
 from corpusengine.operators.sequences import with_dense_id
 from corpusengine.session import materialize
+from corpusengine.streaming import registry
 
 
 def exact_stream(texts: DataFrame, text: str, min_len: int = MIN_LEN, event_time: str | None = None, delay: str = "1 day") -> DataFrame:
@@ -35,20 +35,39 @@ def exact_stream(texts: DataFrame, text: str, min_len: int = MIN_LEN, event_time
     return firsts.drop("_key").unionByName(texts.where(free))
 
 
-def _registry(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+def near_batch(
+    batch: DataFrame,
+    batch_id: int,
+    folder: str,
+    output: str,
+    text: str = "text",
+    order: tuple[str, ...] = ("doc_id", "pos"),
+    threshold: float = THRESHOLD,
+    perms: int = 64,
+    fan: int = registry.FAN,
+) -> None:
+    """Write the texts of a batch that repeat no earlier kept text to `output`, and register them in `folder`."""
+    spark = batch.sparkSession
+    fresh = exact(batch, text, list(order))
+    rows = materialize(signatures(with_dense_id(fresh, list(order), "_n"), text, perms), "stream-batch")
+    free = (F.length(text) < MIN_LEN) | F.col("signature").isNull()
+    long = rows.where(~free).withColumn("id", registry.batch_id(batch_id, F.col("_n")))
+    runs = registry.runs_before(spark, folder, batch_id)
+    items = long.select("id", "signature")
+    earlier = registry.related(spark, folder, runs, band_buckets(items, perms, threshold))
+    gone = near_duplicates(items.unionByName(earlier), perms, threshold).select("id")
+    kept = materialize(long.select("id", "_n", "signature").join(gone, "id", "left_anti"), "stream-kept")
+    passed = rows.where(free).unionByName(rows.join(kept.select("_n"), "_n", "left_semi").select(*rows.columns))
+    passed.drop("_n", "signature").write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+    kept = kept.select("id", "signature")
+    registry.add(spark, folder, batch_id, runs, kept, band_buckets(kept, perms, threshold).select("id", "bucket"), fan)
 
 
 def near_stream(
     spark: SparkSession,
     source: str,
     schema: T.StructType | str,
-    registry: str,
+    registry_folder: str,
     output: str,
     checkpoint: str,
     text: str = "text",
@@ -59,40 +78,15 @@ def near_stream(
 ) -> StreamingQuery:
     """Write the texts under `source` that repeat no earlier kept text, exactly or nearly.
 
-    The registry holds the kept texts' signatures and buckets.  A batch meets only the
+    The `registry_folder` holds the kept texts' signatures and buckets (`streaming.registry`).  A batch meets only the
     registered texts that share a bucket with it; those come first in the order, so they
     stay and newcomers give way.  Registry and output have one folder per batch, overwritten
-    on replay, and a batch reads only the folders of the batches before it.
+    on replay, and a batch reads only what the batches before it left.
     """
     new = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        fresh = exact(batch, text, list(order))
-        rows = materialize(signatures(with_dense_id(fresh, list(order), "_n"), text, perms), "stream-batch")
-        free = (F.length(text) < MIN_LEN) | F.col("signature").isNull()
-        long = rows.where(~free)
-        known = _registry(spark, registry)
-        earlier = None if known is None else known.where(F.col("batch") < batch_id)
-        shift = 0
-        items = long.select(F.col("_n").alias("id"), "signature")
-        if earlier is not None:
-            shift = earlier.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-            items = items.withColumn("id", F.col("id") + shift)
-            touched = band_buckets(items, perms, threshold).select("bucket").distinct()
-            related = (
-                earlier.select("id", "signature", F.explode("buckets").alias("bucket"))
-                .join(touched, "bucket", "left_semi")
-                .select("id", "signature")
-                .distinct()
-            )
-            items = items.unionByName(related)
-        gone = near_duplicates(items, perms, threshold).select("id")
-        kept = long.withColumn("id", F.col("_n") + shift).join(gone, "id", "left_anti")
-        kept_ids = materialize(kept.select("id", "_n", "signature"), "stream-kept")
-        buckets = band_buckets(kept_ids, perms, threshold).groupBy("id").agg(F.collect_list("bucket").alias("buckets"))
-        kept_ids.drop("_n").join(buckets, "id").write.mode("overwrite").parquet(f"{registry}/batch={batch_id}")
-        passed = rows.where(free).unionByName(rows.join(kept_ids.select("_n"), "_n", "left_semi").select(*rows.columns))
-        passed.drop("_n", "signature").write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+        near_batch(batch, batch_id, registry_folder, output, text, order, threshold, perms)
 
     return (
         new.writeStream.foreachBatch(add)

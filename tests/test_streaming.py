@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusengine.operators import ann, dedup, memory
 from corpusengine.streaming import dedup as stream_dedup
 from corpusengine.streaming import memory as stream_memory
-from corpusengine.streaming import sync
+from corpusengine.streaming import registry, sync
 from tests.conftest import SF, rows
 
 
@@ -66,6 +66,41 @@ def test_near_stream_equals_batch(spark, tmp_path):
     assert rows(got, "doc_id", "pos") == rows(want, "doc_id", "pos")
 
 
+def test_near_batches_with_merged_runs_and_replays_equal_batch(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.split("text", "\n").alias("s")).where("doc_id < 60")
+    lines = docs.select("doc_id", F.posexplode("s").alias("pos", "text")).where("text <> ''")
+    # Copies with one word more come in every later batch, the last batch is empty.
+    lines = lines.unionByName(lines.where("doc_id % 12 = 0").select((F.col("doc_id") + 61).alias("doc_id"), "pos", F.concat("text", F.lit(" a")).alias("text")))
+    folder, out = str(tmp_path / "registry"), str(tmp_path / "out")
+    bounds = [0, 20, 62, 200, 201]
+    for batch, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        part = lines.where(F.col("doc_id").between(a, b - 1))
+        for _ in range(2 if batch in (1, 3) else 1):  # sent again
+            stream_dedup.near_batch(part, batch, folder, out, fan=2)
+    numbered = dedup.exact(lines, "text", ["doc_id", "pos"]).withColumn("id", F.col("doc_id") * 100_000 + F.col("pos"))
+    long = dedup.signatures(numbered.where("length(text) >= 20"), "text")
+    gone = dedup.near_duplicates(long.select("id", "signature"))
+    assert gone.where("id > 6000000").count() > 10
+    want = numbered.join(gone, "id", "left_anti")
+    free = "length(text) >= 20"
+    assert rows(spark.read.parquet(out).where(free), "doc_id", "pos") == rows(want.where(free), "doc_id", "pos")
+    assert registry.runs_before(spark, folder, 3) == [(0, 2), (1, 1)]
+    runs = registry.runs_before(spark, folder, 4)
+    assert runs == [(2, 3)] == registry.runs_before(spark, folder, 9)
+    held = registry.bands(spark, folder, runs)
+    kept = long.join(gone, "id", "left_anti").select("id", "signature")
+    assert held.count() == dedup.band_buckets(kept).count()
+    bucket = held.first()["bucket"]
+    plan = held.where(F.col("slice").isin([bucket % registry.SLICES]) & (F.col("bucket") == bucket))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    filters = text[text.index("PartitionFilters"):]
+    assert "slice" in filters[: filters.index("]")] and "bucket" in text[text.index("PushedFilters") :]
+    assert rows(registry.related(spark, folder, runs, spark.createDataFrame([(bucket,)], "bucket BIGINT")), "id") == rows(
+        held.where(F.col("bucket") == bucket).select("id").distinct()
+    )
+    assert registry.runs_before(spark, folder, 0) == [] and registry.related(spark, folder, [], held).isEmpty()
+
+
 def test_memory_stream_equals_batch(spark, tmp_path):
     schema = "conversation_id BIGINT, turn BIGINT, query STRING, answer STRING"
     data = [(c, t, f"q{c}{t}" * 60, None if t % 3 == 0 else f"a{c}{t}") for t in range(6) for c in range(4)]
