@@ -361,6 +361,43 @@ pass AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS out, NULL::BIGINT AS id, NULL::B
 gone AS (SELECT id, keeper, matches FROM pass JOIN alike USING (id, keeper))"""
 
 
+def split_recursively(size: int = 800, overlap: int = 150) -> str:
+    """`pieces` (doc_id, place, text) of the documents, cut at blank lines, lines, spaces, characters.
+
+    `parts` go down a level as long as they are too long.  A run of short neighbours is packed: a piece ends before the first part
+    that does not fit, the next one begins with as many whole parts from its end as overlap and size allow.
+    """
+    return f"""
+seps AS (SELECT unnest([chr(10) || chr(10), chr(10), ' ', '']) AS sep, unnest(range(4)) AS l),
+parts AS (SELECT doc_id, []::BIGINT[] AS path, text AS part, 0::BIGINT AS l FROM documents WHERE {strip('text')} <> ''
+          UNION ALL
+          SELECT doc_id, list_append(path, i), part, l + 1
+          FROM (SELECT doc_id, path, l, unnest(cut) AS part, generate_subscripts(cut, 1)::BIGINT AS i
+                FROM (SELECT p.doc_id, p.path, s.l,
+                             list_transform(string_split(p.part, s.sep), lambda x, n: CASE WHEN n = 1 THEN x ELSE s.sep || x END) AS cut
+                      FROM parts p JOIN seps s ON s.l >= p.l AND (s.sep = '' OR contains(p.part, s.sep))
+                           AND NOT (p.l <= 0 AND s.l > 0 AND contains(p.part, chr(10) || chr(10)))
+                           AND NOT (p.l <= 1 AND s.l > 1 AND contains(p.part, chr(10)))
+                           AND NOT (p.l <= 2 AND s.l > 2 AND contains(p.part, ' '))
+                      WHERE len(p.path) = 0 OR length(p.part) >= {size}))
+          WHERE part <> ''),
+runs AS (SELECT *, list_slice(path, 1, len(path) - 1) AS parent,
+                count(*) FILTER (length(part) >= {size}) OVER (PARTITION BY doc_id, list_slice(path, 1, len(path) - 1) ORDER BY path) AS nth
+         FROM parts WHERE len(path) > 0),
+packs AS (SELECT doc_id, min(path) AS place, list(part ORDER BY path) AS texts,
+                 list_prepend(0, list_transform(range(1, count(*) + 1), lambda n: list_sum(list_slice(list(length(part) ORDER BY path), 1, n))))::BIGINT[] AS ends
+          FROM runs WHERE length(part) < {size} GROUP BY doc_id, parent, nth),
+cuts AS (SELECT doc_id, place, texts, ends, 0::BIGINT AS no, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS next, 0::BIGINT AS last FROM packs
+         UNION ALL
+         SELECT doc_id, place, texts, ends, no + 1, next, b, CASE WHEN b < len(texts) THEN
+                    list_filter(range(next, b + 1), lambda s: ends[b + 1] - ends[s + 1] <= {overlap}
+                                AND (s = b OR ends[b + 2] - ends[s + 1] <= {size}))[1] END, b
+         FROM (SELECT doc_id, place, texts, ends, no, next,
+                      coalesce(list_filter(range(last + 1, len(texts)), lambda e: ends[e + 2] - ends[next + 1] > {size})[1], len(texts)) AS b
+               FROM cuts WHERE next IS NOT NULL)),
+pieces AS (SELECT doc_id, place, no, {strip("array_to_string(list_slice(texts, a + 1, b), '')")} AS text FROM cuts WHERE no > 0)"""
+
+
 def _recursive(ctes: str, select: str) -> str:
     return f"WITH RECURSIVE {ctes.strip()}\n{select}"
 
@@ -516,6 +553,11 @@ long AS (SELECT * FROM keyed WHERE length(sentence) >= 20), {signed("long")},
 scoped AS (SELECT *, 0 AS scope FROM sigs), {greedy()}""",
         "SELECT doc_id, pos, sentence FROM keyed WHERE key NOT IN (SELECT id FROM gone)",
     ),
+    "recursive_chunks": _recursive(
+        split_recursively(),
+        """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place, no) AS index_in_para, text AS chunk_text
+           FROM pieces WHERE text <> ''""",
+    ),
     "chunk_invariants": f"""
 SELECT doc_id, 0::BIGINT AS n_oversize, 0::BIGINT AS n_unstripped, true AS numbered, true AS starts_right, true AS ends_right, true AS covers
 FROM documents WHERE {strip('text')} <> ''""",

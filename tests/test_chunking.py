@@ -1,11 +1,15 @@
+import random
+
+import duckdb
 import pytest
-from tests.conftest import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusengine.functions.arrow import cut_recursively
 from corpusengine.operators import chunking
+from corpusengine.plans.catalog_sql import split_recursively
+from tests.conftest import rows
 
 SEPS = ("\n\n", "\n", " ", "")
 
@@ -64,3 +68,20 @@ def test_build_chunks(spark):
     assert got[-1][1:] == ("S002", 1, None, None)
     assert got[0][3] is None and got[-2][4] is None
     assert all(r["text"].strip() for r in chunks.select("text").collect())
+
+
+def test_sql_of_the_recursive_split():
+    """The SQL that stands beside `recursive_chunks` equals the function on small random texts and limits."""
+    rng = random.Random(1)
+    bits = ["a", "b", "é", " ", " ", "\n", "\n\n"]
+    texts = ["".join(rng.choice([*bits, "x" * rng.randint(1, 9)]) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    for size, overlap in ((12, 5), (7, 0), (9, 9)):
+        sql = f"WITH RECURSIVE {split_recursively(size, overlap).strip()} SELECT doc_id, text FROM pieces WHERE text <> '' ORDER BY doc_id, place, no"
+        got = {}
+        for doc, piece in con.execute(sql).fetchall():
+            got.setdefault(doc, []).append(piece)
+        want = {i: cut_recursively(t, size, overlap, chunking.PLAIN_SEPARATORS) for i, t in enumerate(texts) if t.strip()}
+        assert got == want
