@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 #: Names of helper columns start so, that columns of the input never clash with them.
 ROW = "__llm_row"
+#: How many splits a scan should have at least; unset, Spark takes the cores it has at that time.
+SPLITS = "spark.sql.files.minPartitionNum"
 
 
 def col(name: str) -> Column:
@@ -35,7 +37,15 @@ def numbered(docs: DataFrame, *columns: Column) -> DataFrame:
     read; what is not a plain scan has to be written first.  It keeps rows with the same or
     no `doc_id` apart, as each row counts as a document of its own.  `columns` hold no
     generator: rows would be numbered after it.
+
+    Splits of small tables depend on the number of cores, which moves with dynamic allocation.
+    Where `spark.sql.files.minPartitionNum` is unset, it is set for the session to the number it
+    stands for now, so that later readings are split alike.  `spark.sql.files.maxPartitionBytes` and
+    `openCostInBytes` must stay while an operator runs.
     """
+    spark = docs.sparkSession
+    if spark.conf.get(SPLITS, None) is None:
+        spark.conf.set(SPLITS, spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or spark.sparkContext.defaultParallelism)
     return docs.select(F.monotonically_increasing_id().alias(ROW), *columns)
 
 

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 from corpusengine.llm import line_dedup, line_quality
+from corpusengine.llm.common import ROW, SPLITS, col, numbered
 from tests.llm.conftest import ODD_TEXTS
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -60,3 +61,20 @@ def test_line_dedup_against_plain_rules(make_docs, tmp_path):
     assert cleaned.columns == docs.columns and cleaned.count() == len(texts)
     empty = make_docs([], tmp_path)
     assert line_dedup.report(empty).count() == 0 and line_dedup.clean(empty).count() == 0
+
+
+def test_row_numbers_do_not_move_with_the_cores(spark, make_docs, tmp_path):
+    docs = make_docs([f"text {i}" for i in range(50)], tmp_path)
+    before = spark.conf.get(SPLITS, None)
+    spark.conf.unset(SPLITS)
+    try:
+        first = {r.doc_id: r[ROW] for r in numbered(docs, col("doc_id")).collect()}
+        assert int(spark.conf.get(SPLITS)) == spark.sparkContext.defaultParallelism
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", 1)  # as if the other cores were gone
+        assert {r.doc_id: r[ROW] for r in numbered(docs, col("doc_id")).collect()} == first
+        spark.conf.set(SPLITS, 3)
+        numbered(docs).collect()
+        assert spark.conf.get(SPLITS) == "3"
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+        spark.conf.unset(SPLITS) if before is None else spark.conf.set(SPLITS, before)
