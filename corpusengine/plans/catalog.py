@@ -833,7 +833,7 @@ def _message_queries(spark, sf):
 
 @query
 def expansion_guard(spark, sf):
-    """Without the near-duplicate step, which SQL cannot repeat."""
+    """Without the near-duplicate step."""
     return inference.guard_expansions(_message_queries(spark, sf), near=False).select("query_id", joined("expansions").alias("expansions"))
 
 
