@@ -1,7 +1,9 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, mixing, and encoding.
 
 Every stage takes `(spark, docs, sf_dir)` with the documents its predecessor kept and returns the
-next ones; `docs` is a table that has been written.
+next ones; `docs` is a table that has been written.  A null text counts as empty everywhere, a null
+`doc_id` is one like any other, rows with the same `doc_id` are documents of their own, further columns pass
+through, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -17,27 +19,27 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that fail are gone, documents that fail too."""
+    """Lines that fail are gone, documents that fail too; empty texts have too few words and fail."""
     return line_quality.clean(docs)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that ten or more documents share are gone from all of them."""
+    """Lines that ten or more documents share are gone from all of them; a document left without a line stays, as an empty text."""
     return line_dedup.clean(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays, the one of least `doc_id`."""
+    """One document of each class of near copies stays, the one of least `doc_id`; texts without a word have no copies."""
     return order_minhash.deduplicated(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Small sources are repeated, at most twice in total; every document stays."""
+    """Small sources are repeated, at most twice in total; every document stays, empty ones too."""
     return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text and their decoded form, beside the document's id, language and source."""
+    """Ids of every text and their decoded form, beside the document's id, language and source; an empty text has begin and end only."""
     return piece_codec.encoded(docs, MODEL, keep=("doc_id", "lang", "source"))
 
 

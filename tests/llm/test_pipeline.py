@@ -1,3 +1,5 @@
+from collections import Counter
+
 import public_tokenizers
 import sentencepiece
 
@@ -34,7 +36,20 @@ def test_stages_take_effect(spark, tmp_path):
 
 
 def test_odd_rows_and_no_rows(spark, make_docs, tmp_path):
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     for texts in (ODD_TEXTS, []):
         docs = make_docs(texts, tmp_path, [None] * len(texts))
-        for _, stage in corpus_pipeline.STAGES:
-            assert stage(spark, docs, "").count() >= 0
+        quality, lines, near, mix, encode = (stage(spark, docs, "") for _, stage in corpus_pipeline.STAGES)
+        for stage in (quality, lines, near, mix):
+            assert stage.columns == docs.columns
+        # Nothing here has the 50 words of a document but the long text, which is one word over and over.
+        assert quality.count() == line_quality.report(docs).where("kept").count() == 0
+        # No line is in ten documents.
+        assert sorted(r.text for r in lines.collect()) == sorted(t or "" for t in texts)
+        # Only the repeated text is a copy.
+        assert near.count() == order_minhash.classes(docs).where("first").count()
+        assert len({r.text for r in near.collect()} - {None, ""}) == len({t for t in texts} - {None, ""})
+        # One source: every row once, at most twice.
+        drawn = Counter(r.text for r in mix.collect())
+        assert all(n <= drawn[t] <= 2 * n for t, n in Counter(texts).items())
+        assert sorted(list(r.ids) for r in encode.collect()) == sorted(library.encode(t or "", add_bos=True, add_eos=True) for t in texts)
