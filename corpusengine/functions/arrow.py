@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -107,24 +109,41 @@ def _shingle_registers(cp: np.ndarray, width: int) -> np.ndarray:
     """CRC register after each `width`-character window of the code points, in UTF-8."""
     n = len(cp) - width + 1
     state = np.full(n, _ONES, dtype=np.uint32)
-    if cp.max() < 0x80:
-        for k in range(width):
-            state = _feed(state, cp[k : k + n])
-        return state
-    size, rows = _utf8(cp)
     for k in range(width):
-        for b in range(4):
-            has = size[k : k + n] > b
-            if has.any():
-                state = np.where(has, _feed(state, rows[b, k : k + n]), state)
+        state = _feed(state, cp[k : k + n])
+    # Windows with a character of several bytes are done again.
+    wide = cp >= 0x80
+    at = np.flatnonzero(np.logical_or.reduce([wide[k : k + n] for k in range(width)]))
+    if len(at):
+        size, rows = _utf8(cp)
+        some = np.full(len(at), _ONES, dtype=np.uint32)
+        for k in range(width):
+            for b in range(4):
+                has = size[at + k] > b
+                if has.any():
+                    some = np.where(has, _feed(some, rows[b, at + k]), some)
+        state[at] = some
     return state
 
 
+@cache
+def _suffixes(perms: int) -> list[tuple[int, np.uint32]]:
+    """Digits of each `j` and the register they leave when fed to an empty one."""
+    out = []
+    for j in range(perms):
+        register = np.zeros(1, dtype=np.uint32)
+        for digit in str(j):
+            register = _feed(register, np.uint32(ord(digit)))
+        out.append((len(str(j)), register[0]))
+    return out
+
+
 def crc_minhash(texts: list[str], perms: int, width: int) -> np.ndarray:
     """Row t, column j: `min over shingles of texts[t] of crc32(shingle + str(j))`.
 
-    Every text must have at least one shingle.  CRC-32 is a running register, so the
-    register after each shingle is computed once and only the digits of `j` are fed on top.
+    Every text must have at least one shingle.  CRC-32 is a running register and linear in
+    its state and its input: the digits of `j` change the register after a shingle, moved on by as many
+    zero bytes, by one constant.  So tables are looked up once per shingle and number of digits.
     """
     joined = "".join(texts)
     lengths = np.array([len(t) for t in texts])
@@ -136,43 +155,57 @@ def crc_minhash(texts: list[str], perms: int, width: int) -> np.ndarray:
     state = _shingle_registers(cp, width)[inside[: len(cp) - width + 1]]
     windows = lengths - width + 1
     starts = np.cumsum(windows) - windows
-    by_prefix = {"": state}
-    out = np.empty((len(texts), perms), dtype=np.int64)
-    for j in range(perms):
-        digits = str(j)
-        register = _feed(by_prefix[digits[:-1]], np.uint32(ord(digits[-1])))
-        if int(digits) and int(digits) * 10 < perms:
-            by_prefix[digits] = register
-        # The final inversion turns the minimum of the CRC into the maximum of the register.
-        out[:, j] = np.maximum.reduceat(register, starts) ^ _ONES
-    return out
-
-
-def minhash(perms: int = 64, width: int = 5, slice_chars: int = 200_000):
+    out = np.empty((perms, len(texts)), dtype=np.uint32)
+    for some, block in _blocks(starts, windows):
+        fed, registers = 0, state[block]
+        changed = np.empty_like(registers)
+        for j, (digits, constant) in enumerate(_suffixes(perms)):
+            while fed < digits:
+                registers, fed = _feed(registers, np.uint32(0)), fed + 1
+            np.bitwise_xor(registers, constant, out=changed)
+            # The final inversion turns the minimum of the CRC into the maximum of the register.
+            out[j, some] = changed.max(axis=0)
+    return (out ^ _ONES).T.astype(np.int64)
+
+
+def _blocks(starts: np.ndarray, windows: np.ndarray, texts: int = 256, cells: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Texts of similar length, and the places of their shingles, a column per text; short ones are filled up with their last shingle."""
+    order = np.argsort(-windows, kind="stable")
+    at = 0
+    while at < len(order):
+        longest = windows[order[at]]
+        some = order[at : at + max(1, min(texts, cells // longest))]
+        yield some, starts[some] + np.minimum(np.arange(longest)[:, None], windows[some] - 1)
+        at += len(some)
+
+
+def minhash(perms: int = 64, width: int = 5, slice_chars: int = 100_000):
     """Arrow function `text -> array<bigint>` with one value per permutation; null without shingles."""
 
-    def sign(texts: pd.Series) -> pd.Series:
-        out: list[np.ndarray | None] = [None] * len(texts)
-        rows: list[int] = []
+    def sign(texts: pa.Array) -> pa.Array:
+        signed = np.zeros(len(texts), dtype=bool)
+        parts: list[np.ndarray] = []
         cleans: list[str] = []
         chars = 0
-        for row, text in enumerate(texts):
+        for row, text in enumerate(texts.to_pylist()):
             clean = "" if text is None else "".join(text.lower().split())
             if len(clean) >= width:
-                rows.append(row)
+                signed[row] = True
                 cleans.append(clean)
                 chars += len(clean)
             if chars >= slice_chars:
-                for at, signature in zip(rows, crc_minhash(cleans, perms, width)):
-                    out[at] = signature
-                rows, cleans, chars = [], [], 0
-        if rows:
-            for at, signature in zip(rows, crc_minhash(cleans, perms, width)):
-                out[at] = signature
-        return pd.Series(out, dtype=object)
-
-    @F.pandas_udf(HASH_LIST)
-    def signature(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+                parts.append(crc_minhash(cleans, perms, width).ravel())
+                cleans, chars = [], 0
+        if cleans:
+            parts.append(crc_minhash(cleans, perms, width).ravel())
+        values = pa.array(np.concatenate(parts) if parts else np.empty(0, dtype=np.int64))
+        # A null offset makes a null list.
+        ends = np.cumsum(signed) * perms
+        starts = pa.array(np.append(ends - signed * perms, ends[-1:] if len(ends) else 0).astype(np.int32), mask=np.append(~signed, False))
+        return pa.ListArray.from_arrays(starts, values)
+
+    @F.arrow_udf(HASH_LIST)
+    def signature(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield sign(texts)
 
