@@ -87,9 +87,21 @@ def band_buckets(items: DataFrame, perms: int = 64, threshold: float = THRESHOLD
 
     A pair differs in at most `d` positions, so of `d + 1` bands one is equal.
     """
+    return items.select("id", "signature", F.posexplode(_band_keys(perms, threshold, scope)).alias("band", "bucket"))
+
+
+def _band_keys(perms: int, threshold: float, scope: tuple[str, ...]) -> Column:
     count = perms - required_matches(perms, threshold) + 1
-    keys = [F.xxhash64(*scope, F.lit(b), *_values(p)) for b, p in enumerate(_bands(list(range(perms)), count))]
-    return items.select("id", "signature", F.posexplode(F.array(*keys)).alias("band", "bucket"))
+    return F.array(*[F.xxhash64(*scope, F.lit(b), *_values(p)) for b, p in enumerate(_bands(list(range(perms)), count))])
+
+
+def _shared_buckets(memberships: DataFrame) -> DataFrame:
+    """The memberships of buckets with two members or more, written.
+
+    Counted in a window, so that memberships are moved once; the window of a crowded bucket spills.
+    """
+    counted = memberships.withColumn("_n", F.count("*").over(W.partitionBy("bucket")))
+    return materialize(counted.where("_n > 1").drop("_n"), "shared-buckets")
 
 
 def _divide_crowded(
@@ -136,20 +148,27 @@ def near_duplicates(
     The others go to the next round.  The first round has one head per bucket, so a
     cluster of copies costs one pair per membership however large it is.  Buckets still
     crowded after it are divided, and the number of heads then doubles from round to round.
+
+    `items` is read twice, the second time for what shares a bucket only: give a table, or columns made
+    from one inside the row.
     """
     need = required_matches(perms, threshold)
-    items = materialize(items.where("signature IS NOT NULL").select("id", "signature", *scope), "signatures")
-    signature = items.select("id", "signature")
+    items = items.select("id", "signature", *scope)
+    # A filter on the signature would work it out once more.
+    signed = F.when(F.col("signature").isNotNull(), _band_keys(perms, threshold, scope))
+    keys = materialize(items.select("id", signed.alias("keys")), "band-keys")
+    members = _shared_buckets(keys.select("id", F.posexplode("keys").alias("band", "bucket")))
+    if members.isEmpty():
+        return items.sparkSession.createDataFrame([], "id BIGINT, keeper BIGINT, matches INT")
+    # Only what shares a bucket is compared: most signatures are made, used for the buckets and never moved.
+    sharing = materialize(members.select("id").distinct(), "sharing")
+    signature = materialize(items.join(sharing, "id", "left_semi").select("id", "signature"), "signatures")
     later = signature.select(F.col("id").alias("keeper"), F.col("signature").alias("kept_signature"))
-    members = band_buckets(items, perms, threshold, scope).select("id", "band", "bucket")
     in_order = W.partitionBy("bucket").orderBy("id")
     dropped = None
     heads_per_bucket = 1
     while True:
-        crowd = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-        shared = materialize(members.join(crowd, "bucket", "left_semi"), "shared-buckets")
-        if shared.isEmpty():
-            break
+        shared = members
         heads = (
             shared.select("bucket", "id")
             .withColumn("_nth", F.row_number().over(in_order))
@@ -185,9 +204,9 @@ def near_duplicates(
             heads_per_bucket = HEADS
         else:
             heads_per_bucket *= 2
-    if dropped is None:
-        return items.sparkSession.createDataFrame([], "id BIGINT, keeper BIGINT, matches INT")
-    return dropped
+        members = _shared_buckets(members)
+        if members.isEmpty():
+            return dropped
 
 
 def clean_sentences(
@@ -202,7 +221,8 @@ def clean_sentences(
     unique = exact_sentences(split, min_len=min_len, per_document=per_document)
     if not near:
         return unique
-    numbered = materialize(with_dense_id(unique, ["doc_id", "pos"], "id", costly=True), "sentences")
+    # Sentences of the whole corpus come from a shuffle, which is there to be read again.
+    numbered = with_dense_id(unique, ["doc_id", "pos"], "id", costly=per_document)
     long = numbered.where(F.length("sentence") >= min_len)
     scope = ("doc_id",) if per_document else ()
     gone = near_duplicates(

@@ -55,7 +55,8 @@ def near_batch(
     runs = registry.runs_before(spark, folder, batch_id)
     items = long.select("id", "signature")
     earlier = registry.related(spark, folder, runs, band_buckets(items, perms, threshold))
-    gone = near_duplicates(items.unionByName(earlier), perms, threshold).select("id")
+    both = materialize(items.unionByName(earlier), "stream-signatures")
+    gone = near_duplicates(both, perms, threshold).select("id")
     kept = materialize(long.select("id", "_n", "signature").join(gone, "id", "left_anti"), "stream-kept")
     passed = rows.where(free).unionByName(rows.join(kept.select("_n"), "_n", "left_semi").select(*rows.columns))
     passed.drop("_n", "signature").write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
