@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -230,3 +231,36 @@ def test_small_side_is_bounded_in_bytes(spark):
     wide = spark.range(10).selectExpr("id", "repeat('x', 1000) AS text")
     assert "broadcast" in session.small_side(wide)._jdf.queryExecution().logical().toString().lower()
     assert "broadcast" not in session.small_side(wide, limit_bytes=5000)._jdf.queryExecution().logical().toString().lower()
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_search_of_a_large_block_needs_small_tables_only(metric):
+    rng = np.random.default_rng(5)
+    vectors = np.round(rng.normal(size=(12_000, 16)), 1)  # with ties
+    queries, ids = knn._Queries(np.arange(1500), vectors[:1500], None), np.arange(12_000)[::-1].copy()
+    best = knn._Best(1500, 7)
+    tracemalloc.start()
+    knn._search_block(best, queries, ids, vectors, None, metric)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    for row in range(0, 1500, 300):
+        q = vectors[row]
+        d = -(vectors @ q) if metric == "cosine" else ((vectors - q) ** 2).sum(1)
+        first = np.lexsort((ids, np.round(d, 6)))[:7]
+        assert best.ids[row].tolist() == ids[first].tolist()
+
+
+def test_grid_finds_all_over_many_partitions(spark, vectors, queries, monkeypatch):
+    monkeypatch.setattr(knn, "GRID_QUERIES", 60)
+    monkeypatch.setattr(knn, "GRID_VECTORS", 50)
+    conf = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {c: spark.conf.get(c) for c in conf}
+    try:
+        for c, v in conf.items():
+            spark.conf.set(c, v)
+        some = queries.where("query_id < 150")
+        assert [g[:3] for g in table(knn.knn(some, vectors, 5, broadcast_bytes=0))] == brute(vectors, some, 5, False)
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
