@@ -41,6 +41,16 @@ def test_quality_against_plain_rules(make_docs, tmp_path):
     assert line_quality.report(make_docs([], tmp_path)).count() == 0
 
 
+def test_quality_reads_letters_of_any_case_by_few_slow_passes(make_docs, tmp_path):
+    bad = ["CLICK Here now.", "Lorem IPSUM dolor.", "Sign In to see.", "All Rights reserved.", "a | b | c | d.", "Terms OF Service apply."]
+    good = ["Cliсk here in Cyrillic.", "Cooĸie policy of a sort.", "some first part | some second part.", "\r\x0b", "\u212Aookie policy; coo\u212Aie policy."]
+    docs = make_docs([PROSE + "\n" + x for x in bad + good], tmp_path)
+    assert [r.text.count("\n") for r in sorted(line_quality.clean(docs).collect())] == [0] * len(bad) + [1] * len(good)
+    # `translate` looks up character by character; only the white space of the whole text and of what is left is taken out by it.
+    plan = line_quality.report(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") <= 2
+
+
 def test_line_dedup_against_plain_rules(make_docs, tmp_path):
     shared = [f"own {i}\n  Shared LINE \n\nshared line\nend {i % 3}" for i in range(12)]
     texts, ids = [*shared, *ODD_TEXTS], [*range(11), None, *[50] * len(ODD_TEXTS)]
