@@ -1,10 +1,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from corpusengine.functions.arrays import explode_rows
 from corpusengine.operators import inference
 from corpusengine.plans import catalog
-from tests.conftest import rows
+from tests.conftest import SF, rows
 from tests.test_dedup import greedy, signature, texts
 
 
@@ -129,3 +131,24 @@ def test_one_failing_text_nulls_itself_only(spark, batch_size):
     got = {r.id: (r.embedding, r.error) for r in inference.embed(df, "text", picky, batch_size=batch_size, retries=0).collect()}
     assert {i: e for i, (e, _) in got.items()} == {0: [1.0], 1: None, 2: [3.0], 3: None, 4: [2.0]}
     assert got[1][1] == "RuntimeError: no" and got[0][1] is None
+
+
+def test_model_step_over_many_rows_of_a_batch(spark):
+    texts = [None if i % 5 == 0 or 700 < i < 2000 or i > 4000 else f"t{i}" for i in range(4100)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string").coalesce(1)
+    got = inference.apply_model(df, "text", lambda batch: [t.upper() for t in batch], batch_size=7)
+    assert rows(got, "i", "answer", "error") == [(i, t and t.upper(), None) for i, t in enumerate(texts)]
+    asked = spark.sparkContext.accumulator(0)
+
+    def counted(batch):
+        asked.add(len(batch))
+        return [[1.0, float(len(t))] for t in batch]
+
+    # The answers are unfolded without asking the model for each text twice.
+    vectors = inference.embed(df, "text", counted)
+    assert explode_rows(vectors, ["i"], F.col("embedding"), "pos", "x").count() == 2 * asked.value == 2 * sum(t is not None for t in texts)
+
+
+def test_embed_hashing_embeds_once(spark):
+    plan = catalog.QUERIES["embed_hashing"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
