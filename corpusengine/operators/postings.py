@@ -65,7 +65,14 @@ def save(chunks: DataFrame, folder: str, block: int = BLOCK) -> None:
     lists.hint("rebalance", F.col("section"), F.col("term_bucket")).sortWithinPartitions("section", "term_bucket", "term").write.mode(
         "overwrite"
     ).partitionBy("section", "term_bucket").parquet(f"{folder}/lists")
-    lexical._counts(terms).write.mode("overwrite").parquet(f"{folder}/statistics")
+    # A term's chunks are counted in its lists; the postings are not moved once more for it.
+    written = chunks.sparkSession.read.schema(_LISTS).parquet(f"{folder}/lists")
+    counts = written.groupBy("section", "term").agg(F.sum(F.size("ids")).cast("bigint").alias("df"))
+    sizes = terms.groupBy("section").agg(F.count("*").alias("df"), F.sum("len").cast("bigint").alias("len"))
+    statistics = counts.select("section", "term", "df", F.lit(None).cast("bigint").alias("len")).unionByName(
+        sizes.select("section", F.lit(None).cast("string").alias("term"), "df", "len")
+    )
+    statistics.write.mode("overwrite").parquet(f"{folder}/statistics")
 
 
 def load(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame] | None:

@@ -60,3 +60,18 @@ def test_no_queries_and_no_chunks(spark, chunks, tmp_path):
     postings.save(chunks.limit(0), str(tmp_path))
     lists, stats = postings.load(spark, str(tmp_path))
     assert postings.bm25(queries(spark), lists, stats).count() == 0
+
+
+def test_terms_meet_the_pools_by_profile(spark, tmp_path):
+    """Rare terms that are alike are one row before they are multiplied by the pools, and statistics come from the lists."""
+    held = [(i, f"s{i % 4}", f"common common own{i} other{i}") for i in range(200)]
+    chunks = spark.createDataFrame(held, "chunk_id long, section string, text string")
+    asked = [(i, f"common own{i}", [f"s{i % 4}", f"s{(i + j) % 4}"]) for j in (1, 2) for i in range(4 * j - 4, 4 * j)]
+    asked = spark.createDataFrame(asked, "query_id long, query string, sections array<string>")
+    postings.save(chunks, str(tmp_path))
+    stored = postings.load(spark, str(tmp_path))
+    whole = sorted((r.section, r.term or "", r.df, r.len or 0) for r in lexical._counts(lexical._terms(chunks)).collect())
+    assert sorted((r.section, r.term or "", r.df, r.len or 0) for r in stored[1].collect()) == whole
+    assert rows(postings.bm25(asked, *stored)) == rows(lexical.bm25(asked, chunks))
+    # 401 terms, of which `common` has one profile and those of a single chunk one for each section.
+    assert sorted(r.n_terms for r in newest(spark, "term-profiles").collect()) == [1, 100, 100, 100, 100]
