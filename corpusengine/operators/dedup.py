@@ -214,7 +214,8 @@ def clean_sentences(
     min_len: int = MIN_LEN, threshold: float = THRESHOLD, perms: int = 64,
 ) -> DataFrame:
     """Guarded, masked sentences `(doc_id, pos, sentence)` without repeats."""
-    safe = docs.select("doc_id", nfkc(F.col(text)).alias("text")).where(
+    # As a generator's result: filters on a plain column would be moved below it and normalise each text twice.
+    safe = docs.select("doc_id", F.explode_outer(F.array(nfkc(F.col(text)))).alias("text")).where(
         ~is_blank(F.col("text")) & ~is_unsafe(F.col("text"))
     )
     split = safe.select("doc_id", sentences(collapse(mask_pii(F.col("text")))).alias("sentences"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusengine.functions.arrays import explode_rows
-from corpusengine.operators import inference
+from corpusengine.operators import dedup, inference
 from corpusengine.plans import catalog
 from tests.conftest import SF, rows
 from tests.test_dedup import greedy, signature, texts
@@ -152,3 +152,10 @@ def test_model_step_over_many_rows_of_a_batch(spark):
 def test_embed_hashing_embeds_once(spark):
     plan = catalog.QUERIES["embed_hashing"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_guards_normalise_texts_once(spark):
+    df = spark.createDataFrame([(1, "ask", ["first candidate of it", "second one"])], "query_id long, query string, candidates array<string>")
+    docs = df.select(F.col("query_id").alias("doc_id"), F.col("query").alias("text"))
+    for guarded in (inference.guard_expansions(df, near=False), dedup.clean_sentences(docs, near=False)):
+        assert guarded._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
