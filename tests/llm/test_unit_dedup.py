@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -111,3 +112,57 @@ def test_passages_pasted_in_mid_sentence(make_docs, tmp_path):
         assert len(found) == r.n_words and not any(a < r.start < b or a < r.end < b for a, b in spans)
         got[i] |= found
     assert got == brute_words(stored, U.MIN_RUN_WORDS) and sum(map(len, got.values())) > 1500
+
+
+def test_units_end_as_the_pattern_says():
+    """Offsets and words of units, cut for many texts at once, against a regular expression on each text."""
+    unit = re.compile(r"[^\n]+?(?:[.!?…。！？][\"')\]”’»]*(?=\s)|(?=\n|\Z))")
+    rng = random.Random(5)
+    marks = ["a", "Σ", "İ", ".", "!", "。", '"', ")", "»", " ", "  ", "\n", "\t", "\r", "\x1c", "\x85", " ", "　", "😀", "b.c"]
+    texts = ["", ".", ". ", "! a", '." a', "!! a", "\n. a.\n", *[t or "" for t in ODD_TEXTS]]
+    texts += ["".join(rng.choices(marks, k=rng.randrange(40))) for _ in range(3000)]
+    words = U.Words(texts)
+    got = {}
+    for first, n, a, b, h in zip(words.first, words.count, words.unit_start, words.unit_end, words.unit_hash, strict=True):
+        got.setdefault(words.doc[first], []).append((words.word[first], n, a, b, h))
+    seen = {}
+    for i, text in enumerate(texts):
+        at, want = 0, []
+        for m in unit.finditer(text):
+            said = tuple(m[0].lower().split())
+            if said:
+                want.append((at, len(said), m.start(), m.end(), said))
+                at += len(said)
+        assert [g[:4] for g in got.get(i, [])] == [w[:4] for w in want], text
+        assert all(seen.setdefault(w[4], g[4]) == g[4] for g, w in zip(got.get(i, []), want, strict=True))
+        spans = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+        assert spans == [(a, b) for a, b in zip(words.start[words.doc == i], words.end[words.doc == i], strict=True)]
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_what_occurs_once_is_never_written(spark, make_docs, tmp_path):
+    """Before, each sentence and each periodic window was a row of a table."""
+    shared = os.path.join(spark.conf.get("spark.checkpoint.dir"), "corpusengine")
+    before = set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    texts = [f"Text {i} says this {i}. It also says that {i}! " + " ".join(f"v{i}w{j}" for j in range(60)) for i in range(100)]
+    assert U.repeated_spans(make_docs([*texts, "x y " * 300], tmp_path)).count() == 0
+    written = [spark.read.parquet(os.path.join(shared, d)).count() for d in set(os.listdir(shared)) - before]
+    assert sum(written) <= 2
+
+
+def test_hashes_dealt_to_many_tasks_keep_one_first(monkeypatch, make_docs, tmp_path):
+    """With every repeated hash hot, the spans are the same as with none, in the order of ids, nulls last."""
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for i in range(80):
+        a = rng.randrange(20)
+        own = [f"t{i}w{j}" for j in range(rng.randrange(5, 40))]
+        texts.append(" ".join([*own, *passage[a : a + rng.randrange(26, 40)], ".", *own[:3]]) + f"\nThe same. {P}" * (i % 3))
+    texts += ["a b c " * 40, "z " + "a b c " * 50, " ".join(passage + passage)]
+    ids = [None if i % 17 == 0 else (i * 7) % 50 for i in range(len(texts))]
+    docs = make_docs(texts, tmp_path, ids)
+    cold = sorted(map(str, U.repeated_spans(docs).collect()))
+    monkeypatch.setattr(U, "HOT_ROWS", 2)
+    monkeypatch.setattr(U, "HOT_SHARE", 10**9)
+    assert sorted(map(str, U.repeated_spans(docs).collect())) == cold and len(cold) > 50
