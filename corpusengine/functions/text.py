@@ -157,10 +157,9 @@ def fallback_keywords(
     defaults=DEFAULT_KEYWORDS,
 ) -> Column:
     """The `n` most frequent plain words, padded with the default keywords."""
-    tokens = F.split(F.lower(c), r"[^\p{L}\p{N}_]+")
-    plain = F.filter(
-        tokens, lambda w: w.rlike(rf"^[a-z]{{{min_len},}}$") & ~w.isin(*stopwords)
-    )
+    # A token is a run of letters, digits and underscores; one pass finds those of plain letters only.
+    token = rf"(?<![\p{{L}}\p{{N}}_])[a-z]{{{min_len},}}+(?![\p{{L}}\p{{N}}_])"
+    plain = F.filter(F.regexp_extract_all(F.lower(c), F.lit(token), F.lit(0)), lambda w: ~w.isin(*stopwords))
     padded = F.concat(most_frequent(plain, n), F.array(*[F.lit(d) for d in defaults]))
     return F.slice(padded, 1, n)
 
@@ -168,9 +167,8 @@ def fallback_keywords(
 def confidence(text: Column, keywords: Column) -> Column:
     """Quality score in [0, 1] from length, keyword hits and sentence ending."""
     # Lengths, parts and weights of the score.
-    low = F.lower(text)
     n = F.size(keywords)
-    hits = F.size(F.filter(keywords, lambda k: (k != "") & F.contains(low, F.lower(k))))
+    hits = let(F.lower(text), lambda low: F.size(F.filter(keywords, lambda k: (k != "") & F.contains(low, F.lower(k)))))
     length_part = F.when(F.length(text).between(80, 200), 1.0).otherwise(0.6)
     keyword_part = F.when(keywords.isNull() | (n == 0), 0.5).otherwise(hits / n)
     end_part = F.when(strip(text).rlike("[.!?]$"), 1.0).otherwise(0.7)

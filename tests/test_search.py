@@ -1,3 +1,4 @@
+import random
 import re
 import tracemalloc
 
@@ -187,6 +188,26 @@ def test_unique_texts(spark):
     assert rows(hybrid.unique_texts(hits), "text_no", "text") == [(1, "b"), (2, "a"), (3, "c"), (4, "d")]
 
 
+def test_unique_texts_are_hashed_not_sorted(spark):
+    """Before, every copy of a text was sorted in each task; the order is that of pairs `(position, place)`, nulls first."""
+    rng = random.Random(2)
+    places = [None, -(2**31), -5, -1, 0, 1, 7, 2**31 - 1]
+    given = [
+        (q, p, rng.choice(["a", "b", "", None, "c"]), [(i, rng.choice("abcdefgh")) for i in range(rng.randrange(4))])
+        for q in range(30) for p in rng.sample(places, 5)
+    ]
+    kind = "query_id BIGINT, position INT, chunk_text STRING, context_chunks ARRAY<STRUCT<chunk_id: BIGINT, chunk_text: STRING>>"
+    found = hybrid.unique_texts(spark.createDataFrame(given, kind))
+    want = []
+    for q in range(30):
+        hits = sorted((g for g in given if g[0] == q), key=lambda g: (g[1] is not None, g[1] or 0))
+        texts = dict.fromkeys(t for _, _, own, near in hits for t in [own, *(c for _, c in near)] if t)
+        want += [(q, t, n) for n, t in enumerate(texts, 1)]
+    assert rows(found, "query_id", "text", "text_no") == sorted(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
 def test_flat_search_legacy_takes_the_worst(spark):
     v = spark.createDataFrame([(i, [float(i)], "s") for i in range(1, 6)], "vec_id BIGINT, embedding ARRAY<FLOAT>, section STRING")
     q = spark.createDataFrame([(1, [0.0], ["s"])], "query_id BIGINT, embedding ARRAY<FLOAT>, sections ARRAY<STRING>")

@@ -1,7 +1,12 @@
+import random
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from corpusengine.functions import text as t
+from corpusengine.functions.arrays import most_frequent
 from corpusengine.functions.registry import register
 from corpusengine.operators.hybrid import overlap_score
 
@@ -145,3 +150,19 @@ def test_sql_measures(spark):
         F.expr("confidence(a, NULL)") == t.confidence(F.col("a"), F.lit(None).cast("array<string>")),
     ).collect()
     assert {tuple(r) for r in got} == {(True, True, True)}
+
+
+def test_most_frequent_against_counts(spark):
+    """Ties at and above the last count, few words, no text; tokens beside other letters, digits and marks."""
+    rng = random.Random(4)
+    marks = ["alpha", "beta", "gamma", "delta", "omega", "Alpha", "with", "abc", "naïve", "x9word", "word_s", "éword", "wordé", "KELVIN", "Kelvin", "ſword"]
+    texts = [None, "", "  "] + ["".join(rng.choice(marks) + rng.choice([" ", ".", "-", "\n", " "]) for _ in range(rng.randrange(25))) for _ in range(400)]
+    texts.append(" ".join(f"{a}{b}word" for a in "abcdefghij" for b in "klmnopqrst") + " zzzz zzzz jtword jtword")
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(2)
+    got = {r.id: r for r in df.select("id", t.fallback_keywords(F.col("text")).alias("k"), most_frequent(F.split("text", " "), 3).alias("m")).collect()}
+    for i, text in enumerate(texts):
+        tokens = re.findall(r"[^\W]+", (text or "").lower())
+        plain = [w for w in tokens if re.fullmatch("[a-z]{4,}", w) and w not in t.KEYWORD_STOPWORDS]
+        best = [w for w, _ in Counter(plain).most_common(5)]
+        assert got[i].k == [*best, *t.DEFAULT_KEYWORDS][:5], text
+        assert got[i].m == ([w for w, _ in Counter(text.split(" ")).most_common(3)] if text is not None else [])
