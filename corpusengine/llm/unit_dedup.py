@@ -14,7 +14,8 @@ what is repeated up to a fixed size; a chance hit holds for all windows of a lea
 
 Pieces move once, dealt by unit or least hash with the windows of a stretch in one row.  Each task sorts
 its groups, and what goes on is repeats only, neighbouring windows joined.  A hash that is a large share of all
-is dealt to many tasks, whose first occurrences are then compared.
+is dealt to many tasks, whose first occurrences are then compared.  What repeats the first of its task repeats the first
+of all, so only these first ones are compared; the document that keeps the first of all is looked up once for each span.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ _CLASS = np.array([SPACE if chr(i).isspace() else END if chr(i) in ENDS else CLO
 UNIT, WINDOW, PERIODIC = 0, 1, 2
 #: `words` holds first word, number of words and kind, `parts` the hashes of its windows, then their first characters and lengths.
 PIECE_KINDS = f"{ROW} long, doc_id long, hash long, salt int, words long, parts array<long>"
-#: Hash, key and `kept_*` beside the document are there for hashes dealt to many tasks.
+#: Hash and key are there for hashes dealt to many tasks; then `kept_*` is the first of the task, for what may not repeat it.
 FOUND_KINDS = f"{ROW} long, doc_id long, words long, chars long, kept_doc_id long, kept_row long, kept_word long, hash long, key long"
 SPAN_KINDS = f"{ROW} long, doc_id long, start long, end long, n_units long, n_words long, kept_doc_id long"
 #: Bits of a map for each hash in it, at most so many in all, and of one row of it; bits of a hash that the first pass compares.
@@ -314,7 +315,11 @@ def _repeats(apart_from: int, kind, row, word, kept_row, kept_word):
 
 
 def _found(table: pa.Table, size: int) -> pa.RecordBatch:
-    """Repeats among pieces with all of their equals, neighbouring windows joined; all windows of hot hashes."""
+    """Repeats among the pieces of a task, neighbouring windows joined; of hot hashes also the other pieces, each by itself.
+
+    A row's pieces of a hot hash are in one task.  So a repeat of the first of its task is one of the first of all: that
+    is the same piece, or it comes before it in another row than the repeat's.
+    """
     row, h, salt, words = (table.column(c).combine_chunks().to_numpy() for c in (ROW, "hash", "salt", "words"))
     doc = table.column("doc_id").combine_chunks()
     no_id, doc_id = doc.is_null().to_numpy(zero_copy_only=False), doc.fill_null(0).to_numpy()
@@ -334,25 +339,26 @@ def _found(table: pa.Table, size: int) -> pa.RecordBatch:
     kept = np.empty(len(piece), np.int64)
     kept[order] = order[np.nonzero(heads)[0]][np.cumsum(heads) - 1]
     hot = salt[piece] > 0
-    taken = hot | _repeats(size, kind, row[piece], word, row[piece[kept]], word[kept])
-    # A run of neighbouring windows is one piece.
-    chosen = np.nonzero(taken)[0]
-    opens = _heads(piece[chosen]) | hot[chosen]
-    opens[1:] |= np.diff(chosen) != 1
+    repeated = _repeats(size, kind, row[piece], word, row[piece[kept]], word[kept])
+    # A run of neighbouring windows is one piece, kept by who keeps its first one.
+    chosen = np.nonzero(hot | repeated)[0]
+    alone = ~repeated[chosen]
+    opens = _heads(piece[chosen]) | alone
+    opens[1:] |= (np.diff(chosen) != 1) | alone[:-1]
     lead = np.nonzero(opens)[0]
     a, b = chosen[lead], chosen[np.append(lead[1:], len(chosen)) - 1] if len(lead) else chosen
     start, (end, long) = chars[a] >> 32, _unpacked(chars[b])
-    by, cold = kept[a], ~hot[a]
+    by, cold, known = kept[a], ~hot[a], repeated[a]
     columns = [
         pa.array(row[piece[a]]), doc.take(pa.array(piece[a])), pa.array(_packed(word[a], (word[b] - word[a] + n[b]) << 2 | kind[a])),
-        pa.array(_packed(start, end + long - start)), doc.take(pa.array(piece[by])),
-        *(pa.array(x, mask=cold) for x in (row[piece[by]], word[by], h[piece[a]], key[a])),
+        pa.array(_packed(start, end + long - start)), doc.take(pa.array(piece[by], mask=known & ~cold)),
+        *(pa.array(x, mask=known) for x in (row[piece[by]], word[by])), *(pa.array(x, mask=cold) for x in (h[piece[a]], key[a])),
     ]
     return pa.RecordBatch.from_arrays(columns, [part.split(" ")[0] for part in FOUND_KINDS.split(", ")])
 
 
 def first_of_equals(placed: DataFrame, size: int) -> DataFrame:
-    """Repeats of `pieces`, and all pieces of hot hashes with the first of their task; columns as in `FOUND_KINDS`."""
+    """Repeats of `pieces`, and what may be one of hot hashes, with the first of their task; columns as in `FOUND_KINDS`."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Groups come one behind the other; the last one may go on in the next batch.
@@ -388,32 +394,38 @@ def repeated_spans(docs: DataFrame, text: str = "text", min_run_words: int = MIN
     repeats none: a word said a thousand times is one long unit, no passage and its copies.
 
     A hash with a thousandth of all that is repeated is dealt to many tasks.  The least of their first
-    occurrences, a row for each key and task, is joined back to its pieces, by broadcast where they are few.
+    occurrences, a row for each key, is joined back to these and to the spans, by broadcast where they are few.
     """
     size = max(1, min_run_words)
     placed, any_hot = pieces(docs, text, size)
     found = first_of_equals(placed, size)
-    repeats = found.select(ROW, "doc_id", "words", "chars", "kept_doc_id")
+    # With a hash, `kept` is the key of a piece whose first one is looked up, else the document that keeps it.
+    none = F.lit(None).cast("long")
     if any_hot:
         found = materialize(found, "found-pieces")
         rank = F.struct(F.col("kept_doc_id").isNull().alias("no_id"), "kept_doc_id", "kept_row", "kept_word")
-        firsts = found.where("key IS NOT NULL").groupBy("hash", "key").agg(F.min(rank).alias("first"))
-        firsts = small_side(materialize(firsts, "first-pieces"))
-        hot = found.where("key IS NOT NULL").drop("kept_doc_id", "kept_row", "kept_word").join(firsts, ["hash", "key"])
+        unsure = found.where("kept_row IS NOT NULL")
+        firsts = small_side(materialize(unsure.groupBy("hash", "key").agg(F.min(rank).alias("first")), "first-pieces"))
+        unsure = unsure.drop("kept_doc_id", "kept_row", "kept_word").join(firsts, ["hash", "key"])
         kind, word = F.col("words").bitwiseAND(F.lit(3)), F.shiftright("words", 32)
-        hot = hot.where(_repeats(size, kind, F.col(ROW), word, F.col("first.kept_row"), F.col("first.kept_word")))
+        unsure = unsure.where(_repeats(size, kind, F.col(ROW), word, F.col("first.kept_row"), F.col("first.kept_word")))
+        kept = F.when(F.col("hash").isNull(), F.col("kept_doc_id")).otherwise(F.col("key"))
         repeats = (
-            found.where("key IS NULL").select(ROW, "doc_id", "words", "chars", "kept_doc_id")
-            .unionByName(hot.select(ROW, "doc_id", "words", "chars", F.col("first.kept_doc_id").alias("kept_doc_id")))
+            found.where("kept_row IS NULL").select(ROW, "doc_id", "words", "chars", kept.alias("kept"), "hash")
+            .unionByName(unsure.select(ROW, "doc_id", "words", "chars", F.col("first.kept_doc_id").alias("kept"), none.alias("hash")))
         )
-    by_row = repeats.groupBy(ROW, "doc_id").agg(F.collect_list(F.struct("words", "chars", "kept_doc_id")).alias("pieces"))
+    else:
+        repeats = found.select(ROW, "doc_id", "words", "chars", F.col("kept_doc_id").alias("kept"), none.alias("hash"))
+    by_row = repeats.groupBy(ROW, "doc_id").agg(F.collect_list(F.struct("words", "chars", "kept", "hash")).alias("pieces"))
+
+    kinds = f"{SPAN_KINDS}, hash long"
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [part.split(" ")[0] for part in SPAN_KINDS.split(", ")]
+        names = [part.split(" ")[0] for part in kinds.split(", ")]
         for batch in batches:
             out = []
             for row, doc, value in zip(*(batch.column(i) for i in range(3)), strict=True):
-                *parts, kept = value.values.flatten()
+                *parts, kept, hashes = value.values.flatten()
                 (word, low), (start, long) = (_unpacked(x.to_numpy()) for x in parts)
                 order = np.lexsort([low & 3, word])
                 word, low, start, long = (x[order] for x in (word, low, start, long))
@@ -426,14 +438,21 @@ def repeated_spans(docs: DataFrame, text: str = "text", min_run_words: int = MIN
                     np.add.reduceat((kind == UNIT).astype(np.int64), first), reach[last] - word[first], order[first], strict=True,
                 )
                 out += [
-                    (row.as_py(), doc.as_py(), a, b, n, words, kept[int(at)].as_py())
+                    (row.as_py(), doc.as_py(), a, b, n, words, kept[int(at)].as_py(), hashes[int(at)].as_py())
                     for a, b, n, words, at in spans
                     if words >= min_run_words
                 ]
             columns = zip(*out, strict=True) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-    return by_row.mapInArrow(runs, SPAN_KINDS)
+    spans = by_row.mapInArrow(runs, kinds)
+    if any_hot:
+        # Spans without a hash have a row number in its place, which spreads them; what they may meet is not used.
+        asked = firsts.select(F.col("hash").alias("asked_hash"), F.col("key").alias("asked_key"), F.col("first.kept_doc_id").alias("first_doc_id"))
+        same = (F.coalesce("hash", ROW) == F.col("asked_hash")) & (F.col("kept_doc_id") == F.col("asked_key"))
+        kept = F.when(F.col("hash").isNull(), F.col("kept_doc_id")).otherwise(F.col("first_doc_id"))
+        spans = spans.join(asked, same, "left").withColumn("kept_doc_id", kept)
+    return spans.select(*[part.split(" ")[0] for part in SPAN_KINDS.split(", ")])
 
 
 def without_repeats(docs: DataFrame, text: str = "text", min_run_words: int = MIN_RUN_WORDS) -> DataFrame:

@@ -166,3 +166,21 @@ def test_hashes_dealt_to_many_tasks_keep_one_first(monkeypatch, make_docs, tmp_p
     monkeypatch.setattr(U, "HOT_ROWS", 2)
     monkeypatch.setattr(U, "HOT_SHARE", 10**9)
     assert sorted(map(str, U.repeated_spans(docs).collect())) == cold and len(cold) > 50
+
+
+def test_of_a_hot_group_only_the_first_of_each_task_is_compared(monkeypatch, make_docs, tmp_path):
+    """Before, each piece of a hot hash was joined to the first one: all 4,000 sentences here and each window."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = ["Said over again.\n" * 100 + f"own{i} {passage} tail{i}" for i in range(40)]
+    docs = make_docs(texts, tmp_path, [None, *range(139, 100, -1)])
+    cold = sorted(map(str, U.repeated_spans(docs).collect()))
+    seen, write = {}, U.materialize
+    monkeypatch.setattr(U, "materialize", lambda df, label: seen.setdefault(label, write(df, label)))
+    monkeypatch.setattr(U, "HOT_ROWS", 2)
+    monkeypatch.setattr(U, "HOT_SHARE", 10**9)
+    monkeypatch.setattr(U, "SALTS", 3)
+    spans = U.repeated_spans(docs)
+    assert sorted(map(str, spans.collect())) == cold and {r.kept_doc_id for r in spans.collect()} == {101}
+    keys = seen["first-pieces"].count()
+    assert seen["found-pieces"].where("key IS NOT NULL").count() > 4000 > 3 * keys
+    assert seen["found-pieces"].where("kept_row IS NOT NULL").count() <= 3 * keys
