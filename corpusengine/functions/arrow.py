@@ -21,6 +21,12 @@ def nfkc_udf(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
 
 
+@F.arrow_udf(T.IntegerType())
+def token_count(texts: pa.Array) -> pa.Array:
+    """Number of white-space-delimited tokens."""
+    return pa.array([None if t is None else len(t.split()) for t in texts.to_pylist()], pa.int32())
+
+
 def cut_recursively(text: str, size: int, overlap: int, separators: tuple[str, ...]) -> list[str]:
     """Split at the coarsest separator present; oversize parts go on to the finer ones.
 

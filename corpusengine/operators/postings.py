@@ -17,13 +17,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusengine.functions.arrow import token_count
 from corpusengine.operators import lexical
 from corpusengine.session import among, materialize, small_side
 
 #: Chunks of a block on average; parts that the terms of a stored section are dealt to.
 BLOCK, TERM_BUCKETS = 2048, 16
+#: Tokens of a block for each of its chunks, and tokens of a slice, on average and at most.
+BLOCK_TOKENS, SLICE_TOKENS = 512, 2 << 20
+#: Tokens that a task holds as Python objects at once, a text more or less.
+HELD_TOKENS = 100_000
+#: Lists that a task hands on at once.
+BATCH_LISTS = 10_000
 #: Blocks of a query in the first round.
 FIRST = 2
+_BLOCK_LISTS = (
+    "section STRING, block STRING, term STRING, ids ARRAY<BIGINT>, tfs ARRAY<INT>, lens ARRAY<INT>, max_tf INT, min_len INT"
+)
 _LISTS = (
     "term STRING, block STRING, ids ARRAY<BIGINT>, tfs ARRAY<INT>, lens ARRAY<INT>, max_tf INT, min_len INT, "
     "section STRING, term_bucket INT"
@@ -32,26 +42,63 @@ _STATISTICS = "section STRING, term STRING, df BIGINT, len BIGINT"
 _HITS = "query_id BIGINT, chunk_id BIGINT, score DOUBLE"
 
 
-def inverted_lists(terms: DataFrame, block: int = BLOCK) -> DataFrame:
-    """`(section, term, block, ids, tfs, lens, max_tf, min_len)` of `lexical` term frequencies.
-
-    A block is a band of lengths (powers of two) of a section, or a part of one with more than `block` chunks.
-    """
-    band = F.when(F.col("len") > 0, F.floor(F.log2("len"))).otherwise(-1).cast("bigint")
-    banded = terms.withColumn("band", band)
-    sizes = banded.groupBy("section", "band").agg(F.ceil(F.count("*") / block).cast("bigint").alias("parts"))
-    placed = banded.join(small_side(sizes), ["section", "band"]).withColumn(
-        "block", F.concat_ws("/", "band", F.pmod(F.xxhash64("chunk_id"), "parts"))
+def _measured(chunks: DataFrame) -> DataFrame:
+    """`(chunk_id, section, text, len, band)`: lower-case texts, their token counts and bands of these (powers of two)."""
+    counted = chunks.select(
+        F.col("chunk_id").cast("bigint").alias("chunk_id"), "section", F.lower("text").alias("text"), token_count(F.col("text")).alias("len")
     )
-    # The outer form keeps the optimizer from evaluating the term counts once more as a filter.
-    flat = placed.select("section", "block", "chunk_id", "len", F.explode_outer("terms").alias("t")).where("t IS NOT NULL")
-    entry = F.struct(F.col("chunk_id").cast("bigint").alias("chunk_id"), F.col("t.tf").cast("int").alias("tf"), F.col("len").cast("int").alias("len"))
-    lists = flat.groupBy("section", F.col("t.term").alias("term"), "block").agg(F.collect_list(entry).alias("entries"))
-    part = lambda name: F.transform("entries", lambda e: e[name])
-    return lists.select(
-        "section", "term", "block", part("chunk_id").alias("ids"), part("tf").alias("tfs"), part("len").alias("lens"),
-        F.array_max(part("tf")).alias("max_tf"), F.array_min(part("len")).alias("min_len"),
-    )
+    return counted.withColumn("band", F.when(F.col("len") > 0, F.floor(F.log2("len"))).otherwise(-1).cast("bigint"))
+
+
+def _invert(chunks: pa.Table) -> pa.Table:
+    """The lists of one block, a row per term."""
+    parts: list[pa.Array] = []
+    tokens: list[str] = []
+    lens = np.zeros(chunks.num_rows, dtype=np.int32)
+    for row, text in enumerate(chunks["text"]):
+        found = (text.as_py() or "").split()
+        tokens += found
+        lens[row] = len(found)
+        if len(tokens) >= HELD_TOKENS or row == chunks.num_rows - 1:
+            parts.append(pa.array(tokens, pa.string()).dictionary_encode())
+            tokens = []
+    coded = pa.chunked_array(parts).unify_dictionaries().combine_chunks()
+    codes = coded.indices.to_numpy().astype(np.int64)
+    pairs, tfs = np.unique(codes * chunks.num_rows + np.repeat(np.arange(chunks.num_rows), lens), return_counts=True)
+    code, row = np.divmod(pairs, chunks.num_rows)
+    starts = np.flatnonzero(np.diff(code, prepend=-1))
+    tfs, held = tfs.astype(np.int32), lens[row]
+    offsets = pa.array(np.append(starts, len(pairs)).astype(np.int32))
+    columns = {
+        "section": pa.repeat(chunks["section"][0], len(starts)),
+        "block": pa.repeat(chunks["block"][0], len(starts)),
+        "term": coded.dictionary,
+        "ids": pa.ListArray.from_arrays(offsets, chunks["chunk_id"].combine_chunks().take(pa.array(row))),
+        "tfs": pa.ListArray.from_arrays(offsets, pa.array(tfs)),
+        "lens": pa.ListArray.from_arrays(offsets, pa.array(held)),
+        "max_tf": pa.array(np.maximum.reduceat(tfs, starts) if len(starts) else tfs),
+        "min_len": pa.array(np.minimum.reduceat(held, starts) if len(starts) else held),
+    }
+    lists = pa.table(columns)
+    # As many batches, so that Spark takes in few lists at once.
+    return pa.concat_tables([lists.slice(at, BATCH_LISTS) for at in range(0, max(len(starts), 1), BATCH_LISTS)])
+
+
+def inverted_lists(measured: DataFrame, sizes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """`(section, block, term, ids, tfs, lens, max_tf, min_len)` of the `_measured` chunks.
+
+    A block is a band of lengths of a section, or a part of one with more than `block` chunks or `BLOCK_TOKENS` tokens for each
+    of them; `sizes` has chunks and tokens by section and band.  Texts move once, as they are, to the slice of their section that
+    has their block, and a block's lists are made where it is: postings are never rows, and are not moved.
+    """
+    slices = sizes.groupBy("section").agg(F.greatest(F.ceil(F.sum("len") / SLICE_TOKENS), F.lit(1)).alias("slices"))
+    parts = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("len") / (block * BLOCK_TOKENS)))
+    dealt = sizes.join(slices, "section").select("section", "band", parts.alias("parts"), "slices")
+    # Every chunk finds its band; an inner join would have the optimizer count the tokens once more as a filter.
+    placed = measured.where("section IS NOT NULL").join(small_side(dealt), ["section", "band"], "left")
+    placed = placed.withColumn("block", F.concat_ws("/", "band", F.pmod(F.xxhash64("chunk_id"), "parts")))
+    moved = placed.select("section", F.pmod(F.xxhash64("block"), "slices").alias("slice"), "block", "chunk_id", "text")
+    return moved.repartition("section", "slice").groupBy("section", "slice", "block").applyInArrow(_invert, _BLOCK_LISTS)
 
 
 def _term_bucket(term: Column) -> Column:
@@ -59,18 +106,25 @@ def _term_bucket(term: Column) -> Column:
 
 
 def save(chunks: DataFrame, folder: str, block: int = BLOCK) -> None:
-    """Write the lists by section and term bucket, and the section statistics."""
-    terms = materialize(lexical._terms(chunks), "chunk-terms")
-    lists = inverted_lists(terms, block).withColumn("term_bucket", _term_bucket(F.col("term")))
-    lists.hint("rebalance", F.col("section"), F.col("term_bucket")).sortWithinPartitions("section", "term_bucket", "term").write.mode(
-        "overwrite"
-    ).partitionBy("section", "term_bucket").parquet(f"{folder}/lists")
-    # A term's chunks are counted in its lists; the postings are not moved once more for it.
+    """Write the lists by section and term bucket, and the section statistics.
+
+    `chunks` is read twice, the first time for lengths: give a table, or columns made from one inside the row.
+    """
+    measured = _measured(chunks)
+    sizes = materialize(
+        measured.groupBy("section", "band").agg(F.count("*").alias("n"), F.sum("len").cast("bigint").alias("len")), "section-sizes"
+    )
+    lists = inverted_lists(measured, sizes, block).withColumn("term_bucket", _term_bucket(F.col("term")))
+    # A slice of a section is in one task, so that tasks open few files.
+    lists.sortWithinPartitions("section", "term_bucket", "term").write.mode("overwrite").partitionBy("section", "term_bucket").parquet(
+        f"{folder}/lists"
+    )
+    # A term's chunks are counted in its lists; the postings are not moved for it.
     written = chunks.sparkSession.read.schema(_LISTS).parquet(f"{folder}/lists")
-    counts = written.groupBy("section", "term").agg(F.sum(F.size("ids")).cast("bigint").alias("df"))
-    sizes = terms.groupBy("section").agg(F.count("*").alias("df"), F.sum("len").cast("bigint").alias("len"))
+    counts = written.groupBy("section", "term").agg(F.sum(F.size("tfs")).cast("bigint").alias("df"))
+    totals = sizes.groupBy("section").agg(F.sum("n").alias("df"), F.sum("len").alias("len"))
     statistics = counts.select("section", "term", "df", F.lit(None).cast("bigint").alias("len")).unionByName(
-        sizes.select("section", F.lit(None).cast("string").alias("term"), "df", "len")
+        totals.select("section", F.lit(None).cast("string").alias("term"), "df", "len")
     )
     statistics.write.mode("overwrite").parquet(f"{folder}/statistics")
 

@@ -5,7 +5,8 @@ import random
 import pytest
 
 from corpusengine.operators import lexical, postings
-from tests.conftest import rows
+from corpusengine.plans.catalog import QUERIES
+from tests.conftest import SF, rows
 
 
 def corpus(n=400, seed=1):
@@ -75,3 +76,36 @@ def test_terms_meet_the_pools_by_profile(spark, tmp_path):
     assert rows(postings.bm25(asked, *stored)) == rows(lexical.bm25(asked, chunks))
     # 401 terms, of which `common` has one profile and those of a single chunk one for each section.
     assert sorted(r.n_terms for r in newest(spark, "term-profiles").collect()) == [1, 100, 100, 100, 100]
+
+
+def folders(spark, label):
+    return len(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/corpusengine/{label}-*"))
+
+
+def test_lists_are_made_where_a_block_is(spark, chunks, tmp_path, monkeypatch):
+    """Texts move once to slices of their section; neither term frequencies nor postings are written or moved for the lists."""
+    monkeypatch.setattr(postings, "BLOCK_TOKENS", 4)
+    monkeypatch.setattr(postings, "SLICE_TOKENS", 500)
+    monkeypatch.setattr(postings, "HELD_TOKENS", 50)
+    monkeypatch.setattr(postings, "BATCH_LISTS", 7)
+    odd = [(7001, "s1", "\x1cÀB àb  \tx\x85İ 日本 x"), (7002, "s2", " \n "), (7003, "s2", None), (7004, None, "w1"), (7001, "s1", "x y")]
+    chunks = chunks.unionByName(spark.createDataFrame(odd, "chunk_id long, section string, text string"))
+    before = folders(spark, "chunk-terms")
+    postings.save(chunks, str(tmp_path), 10)
+    assert folders(spark, "chunk-terms") == before
+    lists, stats = postings.load(spark, str(tmp_path))
+    held = lists.collect()
+    got = sorted((r.section, r.term, *x) for r in held for x in zip(r.ids, r.tfs, r.lens, strict=True))
+    terms = lexical._terms(chunks).where("section IS NOT NULL").collect()
+    assert got == sorted((r.section, x.term, r.chunk_id, x.tf, r.len) for r in terms for x in r.terms)
+    assert all((r.max_tf, r.min_len) == (max(r.tfs), min(r.lens)) for r in held)
+    assert len({(r.section, r.term, r.block) for r in held}) == len(held)
+    found = sorted((r.section or "", r.term or "", r.df, r.len or 0) for r in stats.collect())
+    whole = lexical._counts(lexical._terms(chunks)).where("section IS NOT NULL OR term IS NULL").collect()
+    assert found == sorted((r.section or "", r.term or "", r.df, r.len or 0) for r in whole)
+
+
+def test_the_query_writes_no_texts(spark):
+    before = folders(spark, "embedded-chunks")
+    assert QUERIES["bm25_postings"](spark, SF).count() > 0
+    assert folders(spark, "embedded-chunks") == before
