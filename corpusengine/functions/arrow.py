@@ -186,7 +186,10 @@ def _blocks(starts: np.ndarray, windows: np.ndarray, texts: int = 256, cells: in
 
 
 def minhash(perms: int = 64, width: int = 5, slice_chars: int = 100_000):
-    """Arrow function `text -> array<bigint>` with one value per permutation; null without shingles."""
+    """Arrow function `text -> array<bigint>` with one value per permutation; null without shingles.
+
+    Equal texts of an Arrow batch are signed once.
+    """
 
     def sign(texts: pa.Array) -> pa.Array:
         signed = np.zeros(len(texts), dtype=bool)
@@ -213,6 +216,7 @@ def minhash(perms: int = 64, width: int = 5, slice_chars: int = 100_000):
     @F.arrow_udf(HASH_LIST)
     def signature(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield sign(texts)
+            found = texts.dictionary_encode()
+            yield sign(found.dictionary).take(found.indices)
 
     return signature
