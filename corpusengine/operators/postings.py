@@ -98,7 +98,10 @@ def inverted_lists(measured: DataFrame, sizes: DataFrame, block: int = BLOCK) ->
     placed = measured.where("section IS NOT NULL").join(small_side(dealt), ["section", "band"], "left")
     placed = placed.withColumn("block", F.concat_ws("/", "band", F.pmod(F.xxhash64("chunk_id"), "parts")))
     moved = placed.select("section", F.pmod(F.xxhash64("block"), "slices").alias("slice"), "block", "chunk_id", "text")
-    return moved.repartition("section", "slice").groupBy("section", "slice", "block").applyInArrow(_invert, _BLOCK_LISTS)
+    # Lists are many times larger than the texts by whose bytes Spark would merge partitions.
+    total = sizes.agg(F.sum("len")).first()[0] or 0
+    tasks = max(moved.sparkSession.sparkContext.defaultParallelism, -(-2 * total // SLICE_TOKENS))
+    return moved.repartition(tasks, "section", "slice").groupBy("section", "slice", "block").applyInArrow(_invert, _BLOCK_LISTS)
 
 
 def _term_bucket(term: Column) -> Column:
